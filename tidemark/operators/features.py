@@ -6,7 +6,6 @@ them after a single exchange and a single sort.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ CORRELATION_MIN_ROWS = 3
 VARIANCE_FLOOR = 1e-9
 ALARM_CAP = 10_000
 COUNTER_WRAP = 256
-EWMA_PRECISION = 1e-12
+EWMA_PRECISION = 1e-17
 
 META_COLUMNS = ("row_id", "timestamp", "element_id", "subsystem")
 LABEL_COLUMNS = ("anomaly", "anomaly_type")
@@ -91,34 +90,46 @@ def gradient_column(channel: str, w) -> Column:
     )
 
 
-def ewma_reach(span: int = EWMA_SPAN) -> int:
-    """Rows after which an older value weighs less than the wanted precision."""
+EWMA_FAN = 4
+
+
+def ewma_strides(span: int = EWMA_SPAN) -> list[int]:
+    """Distances of the lags that are added up, until an older value cannot be seen any more."""
     keep = 1.0 - 2.0 / (span + 1.0)
-    return math.ceil(math.log(EWMA_PRECISION) / math.log(keep))
+    strides = [1]
+    while keep ** (strides[-1] * EWMA_FAN) > EWMA_PRECISION:
+        strides.append(strides[-1] * EWMA_FAN)
+    return strides
 
 
-def ewma_column(channel: str, w, span: int = EWMA_SPAN, pos: str = POS) -> Column:
-    """Exponential average y = a*x + (1-a)*y', started at the first value of the series.
+def ewma_reach(span: int = EWMA_SPAN) -> int:
+    """Rows back that an exponential average reads."""
+    return sum(s * (EWMA_FAN - 1) for s in ewma_strides(span))
 
-    The recursion is written as a weighted sum over a bounded trailing frame.  The
-    weights are taken relative to the start of a block of positions, and the frame
-    covers at most two neighbouring blocks, which are summed apart (even and odd
-    block number); that keeps every weight inside the range of a double.
+
+def add_ewma(rows: DataFrame, keyed: SeriesSpec, channels: Sequence[str], span: int = EWMA_SPAN) -> DataFrame:
+    """Add y = a*x + (1-a)*y' per channel, started at the first value of the series.
+
+    The recursion is a geometric sum.  A sum over 4n terms is four lagged sums over n
+    terms, so a few rounds of plain lags reach as far back as a double can resolve;
+    every round reads the same sorted partitions.  ``rows`` must carry ``_pos``.
     """
     alpha = 2.0 / (span + 1.0)
     keep = 1.0 - alpha
-    reach = ewma_reach(span)
-    block = reach + 1
-    frame = w.rowsBetween(-reach, Window.currentRow)
-    zero = F.col(pos) - 1
-    offset = zero % block
-    even = F.floor(zero / block) % 2 == 0
-    seeded = F.when(F.col(pos) == 1, F.col(channel) / alpha).otherwise(F.col(channel))
-    weighted = seeded * F.pow(F.lit(keep), -offset)
-    in_even = F.coalesce(F.sum(F.when(even, weighted)).over(frame), F.lit(0.0))
-    in_odd = F.coalesce(F.sum(F.when(~even, weighted)).over(frame), F.lit(0.0))
-    here, before = F.when(even, in_even).otherwise(in_odd), F.when(even, in_odd).otherwise(in_even)
-    return alpha * (F.pow(F.lit(keep), offset) * here + F.pow(F.lit(keep), offset + block) * before)
+    w = keyed.window()
+    start = F.col(POS) == 1
+    out = rows.withColumns({f"{c}_ewma": F.when(start, F.col(c)).otherwise(alpha * F.col(c)) for c in channels})
+    for stride in ewma_strides(span):
+        added = {}
+        for c in channels:
+            name = f"{c}_ewma"
+            terms = [
+                F.lit(keep ** (stride * i)) * F.coalesce(F.lag(name, stride * i).over(w), F.lit(0.0))
+                for i in range(1, EWMA_FAN)
+            ]
+            added[name] = sum(terms, F.col(name))
+        out = out.withColumns(added)
+    return out
 
 
 def since_alarm_column(alarm: str, w, pos: str = POS, cap: int = ALARM_CAP) -> Column:
@@ -175,15 +186,14 @@ def add_features(df: DataFrame, spec: SeriesSpec, plan: FeaturePlan = FeaturePla
         for c in plan.changing:
             cols[f"{c}_roc"] = change_column(c, w)
             cols[f"{c}_grad"] = gradient_column(c, w)
-        for c in plan.smoothed:
-            cols[f"{c}_ewma"] = ewma_column(c, w, plan.span)
         if plan.alarm:
             cols["time_since_alarm"] = since_alarm_column(plan.alarm, w)
             cols["alarm_freq"] = alarm_rate_column(plan.alarm, w, plan.alarm_rows)
         cols["temp_curr_corr"] = rolling_correlation_column(*plan.correlated, w, plan.corr_rows)
         if plan.counter:
             cols["heartbeat_delta"] = counter_delta_column(plan.counter, w)
-        return rows.select("*", *[c.alias(name) for name, c in cols.items()])
+        smoothed = add_ewma(rows, keyed, plan.smoothed, plan.span)
+        return smoothed.select("*", *[c.alias(name) for name, c in cols.items()])
 
     out = over_series(df, spec, build, back=feature_reach(plan), ahead=1).drop(POS)
     temp = plan.correlated[0]

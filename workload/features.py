@@ -133,7 +133,7 @@ def win_rate_of_change_and_gradient(spark, sf):
 )
 def win_ewma(spark, sf):
     def build(rows, keyed):
-        return rows.withColumn("value_ewma", feat.ewma_column("value", keyed.window()))
+        return feat.add_ewma(rows, keyed, ["value"])
 
     out = over_series(events(spark, sf), EVENTS, build, back=feat.ewma_reach())
     return out.select("row_id", F.round("value_ewma", 4).alias("value_ewma"))
