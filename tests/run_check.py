@@ -12,7 +12,8 @@ from tests.check import compare, connect
 
 
 def main(argv: list[str]) -> int:
-    sf, names = argv[0], argv[1:]
+    sf, names = argv[0], [a for a in argv[1:] if "=" not in a]
+    settings = dict(a.split("=", 1) for a in argv[1:] if "=" in a)
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,6 +24,8 @@ def main(argv: list[str]) -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     con = connect(sf)
     oracle = entry.oracle_sql()
     failed = 0
@@ -35,7 +38,7 @@ def main(argv: list[str]) -> int:
                 problem = compare(run(spark, sf), con, oracle[name])
                 kind = "sql"
             else:
-                problem = None if run(spark, sf).count() >= 0 else "no rows"
+                problem = None if len(run(spark, sf).toPandas()) > 0 else "no rows"
                 kind = "rows"
         except Exception as exc:  # noqa: BLE001
             problem, kind = f"{type(exc).__name__}: {str(exc)[:600]}", "error"
