@@ -1,0 +1 @@
+"""Streaming operators: adaptive threshold, causal features, frozen scoring, gap filling."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "evaluation", "ensembles", "detectors")
+MODULES = ("features", "evaluation", "ensembles", "detectors", "tables", "streams")
 
 
 def load():
