@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.thresholds import exact_quantiles
+from tidemark.plans.frames import plain
 from tidemark.plans.ordered import CHUNK, POS, chunked, over_series, with_length, with_position
 from tidemark.plans.sizing import is_large, join_on
 from tidemark.spec import SeriesSpec
@@ -114,12 +115,12 @@ def map_windows(
         take = ends["_own"].to_numpy(dtype=bool) & ((pos - length) % stride == 0)
         if not take.any():
             return empty
-        out = ends.loc[take, id_cols].reset_index(drop=True)
+        out = plain(ends.loc[take, id_cols].reset_index(drop=True))
         for name, column in fn(views[take]).items():
             out[name] = list(column) if getattr(column, "ndim", 1) > 1 else column
         return out[[*id_cols, *schema]]
 
-    empty = pd.DataFrame({c: [] for c in [*id_cols, *schema]})
+    empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in [*id_cols, *schema]})
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in id_cols] + [f"`{c}` {t}" for c, t in schema.items()])
     return slim.groupBy(*spec.series, CHUNK).applyInPandas(run, ddl)
@@ -145,7 +146,7 @@ def score_rows(df: DataFrame, array: str, fn: Callable[[np.ndarray], np.ndarray]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[list(keep)].copy()
+            out = plain(batch[list(keep)].copy())
             out["score"] = np.asarray(fn(np.stack(batch[array].to_numpy())), dtype=float) if len(batch) else []
             yield out
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.plans.frames import plain
 from tidemark.operators.features import ALARM_ROWS, EWMA_SPAN, ROLL_ROWS
 
 
@@ -64,7 +65,7 @@ def causal_features(
             }
         ).iloc[len(before) :].reset_index(drop=True)
         state.update(([float(v) for v in x.iloc[-tail:]], float(smooth)))
-        yield pd.concat([rows[out_cols], table.assign(**{made[6]: smoothed})], axis=1)
+        yield pd.concat([plain(rows[out_cols]), table.assign(**{made[6]: smoothed})], axis=1)
 
     return stream.groupBy(*keys).applyInPandasWithState(
         run, ddl, "tail array<double>, ewma double", "append", GroupStateTimeout.NoTimeout
@@ -98,7 +99,7 @@ def score_windows_stream(
         if len(x) >= length:
             views = np.lib.stride_tricks.sliding_window_view(x, length, axis=0).transpose(0, 2, 1)
             first = max(0, length - 1 - len(before))
-            yield rows[out_cols].iloc[first:].assign(score=np.asarray(fn(views), dtype=float)[-(len(rows) - first) :])
+            yield plain(rows[out_cols]).iloc[first:].assign(score=np.asarray(fn(views), dtype=float)[-(len(rows) - first) :])
 
     return stream.groupBy(*keys).applyInPandasWithState(
         run, ddl, "tail array<double>", "append", GroupStateTimeout.NoTimeout

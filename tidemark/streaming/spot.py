@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.thresholds import POT_RATE, POT_SHAPE_ZERO, pot_threshold
+from tidemark.plans.frames import plain
 from tidemark.plans.ordered import POS, running_sums, with_position
 from tidemark.plans.sizing import join_on
 from tidemark.spec import SeriesSpec
@@ -144,7 +145,7 @@ def spot_stream(
             thresholds.append(before)
             alarms.append(alarm)
         state.update(tuple(float(v) for v in current))
-        yield rows[out_cols].assign(threshold=thresholds, alarm=alarms)
+        yield plain(rows[out_cols]).assign(threshold=thresholds, alarm=alarms)
 
     return joined.groupBy(*keys).applyInPandasWithState(
         run, ddl, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
