@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -32,32 +32,49 @@ def literal_array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def stacked(column: pd.Series) -> np.ndarray:
-    """Array column of an Arrow batch as a matrix."""
-    return np.stack(column.to_numpy()).astype(float) if len(column) else np.empty((0, 0))
+def stacked(column: pa.Array) -> np.ndarray:
+    """Array column of an Arrow batch as a matrix, without a Python object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(float, copy=False)
 
 
 def batch_column(fn, kind: T.DataType = T.DoubleType()):
     """A column function that applies ``fn`` to the matrix of each Arrow batch."""
 
-    @F.pandas_udf(kind)
-    def run(column: pd.Series) -> pd.Series:
+    @F.arrow_udf(kind)
+    def run(column: pa.Array) -> pa.Array:
         if not len(column):
-            return pd.Series([], dtype=object if isinstance(kind, T.ArrayType) else float)
-        out = fn(stacked(column))
-        return pd.Series(list(out)) if getattr(out, "ndim", 1) > 1 else pd.Series(out)
+            return pa.array([], pa.list_(pa.float64()) if isinstance(kind, T.ArrayType) else pa.float64())
+        out = np.asarray(fn(stacked(column)), dtype=float)
+        if out.ndim == 1:
+            return pa.array(out)
+        offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
     return run
 
 
-def mean_vector(df: DataFrame, array: str, size: int) -> np.ndarray:
-    row = df.agg(*[F.avg(F.col(array)[i]).alias(f"m{i}") for i in range(size)]).first()
-    return np.array([v if v is not None else 0.0 for v in row], dtype=float)
-
-
 def array_size(df: DataFrame, array: str) -> int:
     """Width of the feature arrays, read from one row."""
     row = df.select(F.size(array).alias("n")).first()
     if row is None:
         raise ValueError("cannot fit on an empty table")
     return int(row["n"])
+
+
+def partition_sums(rows: DataFrame, array: str, width: int, step) -> np.ndarray:
+    """Add up ``step(matrix)`` over all batches; partial sums meet in a shuffle by index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += step(stacked(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+    parts = rows.select(array).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return parts.toPandas().sort_values("i")["v"].to_numpy()

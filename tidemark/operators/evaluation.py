@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.segments import adjusted_counts, number_segments
 from tidemark.operators.thresholds import best_threshold, exact_quantiles, f1_of, flag, safe_ratio, score_cuts
-from tidemark.plans.sizing import broadcast_if_small, join_on
+from tidemark.plans.sizing import broadcast_if_small, broadcast_rows_limit, join_on
 from tidemark.spec import SeriesSpec
 
 HISTOGRAM_BINS = 59
@@ -96,7 +96,10 @@ def compute_metrics(
     if thresholds is None:
         thresholds = best_threshold(cuts, keys, score)
     grouped = SeriesSpec((*keys, *spec.series), spec.order, spec.row_id)
-    flagged = join_on(df, broadcast_if_small(thresholds), keys)
+    # One threshold per group: the number of groups tells whether they can be broadcast.
+    limit = broadcast_rows_limit(df.sparkSession)
+    few = bool(keys) and df.select(*keys).distinct().limit(limit + 1).count() <= limit
+    flagged = join_on(df, F.broadcast(thresholds) if few else thresholds, keys)
     flagged = flagged.withColumn("predicted", flag(F.col(score), F.col("threshold")))
     slim = list(dict.fromkeys([*grouped.series, *spec.order, label, "predicted"]))
     numbered = number_segments(flagged.select(*slim), grouped, label)

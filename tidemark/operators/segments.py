@@ -22,8 +22,9 @@ def number_segments(df: DataFrame, spec: SeriesSpec, label: str = "label") -> Da
         before = F.coalesce(F.lag(label).over(keyed.window()), F.lit(0))
         return rows.withColumn("_start", ((F.col(label) == 1) & (before != 1)).cast("long"))
 
-    marked = over_series(df, spec, build, back=1)
-    numbered = running_sums(marked, spec.series, spec.order, {"segment": F.col("_start")})
+    large = is_large(df, spec.series)
+    marked = over_series(df, spec, build, back=1, large=large)
+    numbered = running_sums(marked, spec.series, spec.order, {"segment": F.col("_start")}, large=large)
     return numbered.withColumn("segment", F.when(F.col(label) == 1, F.col("segment"))).drop("_start")
 
 

@@ -41,7 +41,9 @@ def score_cuts(df: DataFrame, keys: Sequence[str], score: str = "score", label:
     blocks = df.groupBy(*keys, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
     )
-    cuts = running_sums(blocks, keys, [score], {"k": F.col("n"), "tp": F.col("pos")}, descending=True)
+    # Rows bound the blocks from above, and counting them needs the keys only.
+    sums = {"k": F.col("n"), "tp": F.col("pos")}
+    cuts = running_sums(blocks, keys, [score], sums, descending=True, large=is_large(df, keys))
     totals = blocks.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), F.max(score).alias("top_score")
     )
@@ -91,7 +93,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return picked.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("quantile"))
 
 
-def cuts_at_thresholds(cuts: DataFrame, thresholds: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
+def cuts_at_thresholds(
+    cuts: DataFrame, thresholds: DataFrame, keys: Sequence[str], score: str = "score", large: bool | None = None
+) -> DataFrame:
     """Counts at given thresholds: rows and positives with score >= threshold.
 
     A threshold shares the count of the smallest distinct score not below it.  The
@@ -105,7 +109,7 @@ def cuts_at_thresholds(cuts: DataFrame, thresholds: DataFrame, keys: Sequence[st
     )
     # Among equal values the score blocks come first, so that >= holds.
     order_flag = events.withColumn("_first", -F.col("_is_t"))
-    summed = running_sums(order_flag, keys, ["_at", "_first"], {"k": F.col("n"), "tp": F.col("pos")}, descending=True)
+    summed = running_sums(order_flag, keys, ["_at", "_first"], {"k": F.col("n"), "tp": F.col("pos")}, True, large)
     found = summed.filter(F.col("_is_t") == 1).select(*keys, F.col("_at").alias("threshold"), "k", "tp")
     totals = cuts.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), F.max("n_pos").alias("n_pos"))
     return join_on(found, totals, keys)
@@ -123,7 +127,8 @@ def sweep_threshold(
     if digits is not None:
         grid = grid.withColumn("threshold", F.round("threshold", digits))
     grid = grid.distinct()
-    counted = cuts_at_thresholds(score_cuts(df, keys, score, label), grid, keys, score)
+    cuts = score_cuts(df, keys, score, label)
+    counted = cuts_at_thresholds(cuts, grid, keys, score, is_large(df, keys))
     precision = safe_ratio(F.col("tp"), F.col("k"))
     recall = safe_ratio(F.col("tp"), F.col("n_pos"))
     rated = counted.withColumns({"precision": precision, "recall": recall})
@@ -145,7 +150,7 @@ def cost_threshold(
     options = options.withColumn("threshold", F.col("multiplier") * F.col("base"))
     cuts = score_cuts(df, keys, score, label)
     # score > t is counted by ordering the score blocks after an equal threshold.
-    counted = _counts_above(cuts, options, keys, score)
+    counted = _counts_above(cuts, options, keys, score, is_large(df, keys))
     hits, alarms = F.col("tp"), F.col("k")
     reward = (
         REWARD_HIT * hits
@@ -160,7 +165,7 @@ def cost_threshold(
     return rated.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def _counts_above(cuts: DataFrame, options: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+def _counts_above(cuts: DataFrame, options: DataFrame, keys: Sequence[str], score: str, large: bool) -> DataFrame:
     events = cuts.select(
         *keys, F.col(score).alias("_at"), F.lit(0).alias("_is_t"), F.lit(None).cast("double").alias("multiplier"), "n", "pos"
     ).unionByName(
@@ -169,7 +174,7 @@ def _counts_above(cuts: DataFrame, options: DataFrame, keys: Sequence[str], scor
         )
     )
     summed = running_sums(
-        events, keys, ["_at", "_is_t", "multiplier"], {"k": F.col("n"), "tp": F.col("pos")}, descending=True
+        events, keys, ["_at", "_is_t", "multiplier"], {"k": F.col("n"), "tp": F.col("pos")}, True, large
     )
     found = summed.filter(F.col("_is_t") == 1).select(*keys, F.col("_at").alias("threshold"), "multiplier", "k", "tp")
     totals = cuts.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), F.max("n_pos").alias("n_pos"))

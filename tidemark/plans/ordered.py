@@ -74,15 +74,17 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     descending: bool = False,
+    large: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per key in the given order.
 
     ``order`` must be a total order inside a key.  The first column decides the
-    buckets of the split plan.
+    buckets of the split plan.  ``large`` tells what a caller already knows about the
+    size of the keys.
     """
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not is_large(df, keys):
+    if not (is_large(df, keys) if large is None else large):
         w = upto(Window.partitionBy(*keys).orderBy(*sort))
         return df.select("*", *[F.sum(c).over(w).alias(name) for name, c in sums.items()])
 
@@ -101,8 +103,6 @@ def running_sums(
 
 def with_position(df: DataFrame, spec: SeriesSpec, out: str = POS) -> DataFrame:
     """Add the 1-based position of each row in its series."""
-    if not is_large(df, spec.series):
-        return df.withColumn(out, F.row_number().over(spec.window()).cast("long"))
     return running_sums(df, spec.series, spec.order, {out: F.lit(1).cast("long")})
 
 
@@ -139,6 +139,7 @@ def over_series(
     build: Callable[[DataFrame, SeriesSpec], DataFrame],
     back: int,
     ahead: int = 0,
+    large: bool | None = None,
 ) -> DataFrame:
     """Run a builder of bounded-frame window columns over every series.
 
@@ -146,7 +147,7 @@ def over_series(
     for its windows.  Its frames may reach ``back`` rows back and ``ahead`` rows
     forward.  ``_pos`` stays in the result.
     """
-    if not is_large(df, spec.series):
+    if not (is_large(df, spec.series) if large is None else large):
         return build(df.withColumn(POS, F.row_number().over(spec.window()).cast("long")), spec)
     rows = max(group_rows_limit(df.sparkSession) // 2, 2 * max(back, ahead) + 1)
     cut = chunked(with_position(df, spec), spec, rows, back, ahead)

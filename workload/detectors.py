@@ -255,27 +255,29 @@ def feature_names(df):
     return [c for c in feat.feature_columns(df) if c not in TEL_IDS]
 
 
-def prepared(df):
-    """Keep a prepared table: detectors that ask for the same plan share it."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def feature_table(spark, sf):
+    """The feature table, kept once: every detector that asks for it gets the same rows.
+
+    On a cluster this is the table that a feature job writes.
+    """
+    return feat.add_features(telemetry(spark, sf), TELEMETRY).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def matrix(spark, sf):
     """All rows with the 41 standardised features as one array, and the label for evaluation."""
-    df = feat.add_features(telemetry(spark, sf), TELEMETRY)
+    df = feature_table(spark, sf)
     names = feature_names(df)
     scaled = apply_scaler(df, fit_scaler(df, names), names)
     out = feat.feature_array(scaled, names)
-    return prepared(out.select(*TEL_IDS, "ts", "subsystem", "anomaly", "features"))
+    return out.select(*TEL_IDS, "ts", "subsystem", "anomaly", "features")
 
 
 def split_matrix(spark, sf):
     """Train and test rows scaled with the statistics of the training rows."""
-    df = temporal_split(feat.add_features(telemetry(spark, sf), TELEMETRY), TELEMETRY, 0.6)
+    df = temporal_split(feature_table(spark, sf), TELEMETRY, 0.6)
     names = [c for c in feature_names(df) if c != "is_train"]
     scaled = apply_scaler(df, fit_scaler(df.filter("is_train = 1"), names), names)
     out = feat.feature_array(scaled, names).select(*TEL_IDS, "ts", "subsystem", "anomaly", "features", "is_train")
-    out = prepared(out)
     return out.filter("is_train = 1"), out.filter("is_train = 0"), names
 
 
@@ -386,12 +388,12 @@ LENGTH = 30
 
 
 def channels(spark, sf):
-    df = feat.add_features(telemetry(spark, sf), TELEMETRY)
+    df = feature_table(spark, sf)
     keep = dict.fromkeys([*TELEMETRY.series, *TELEMETRY.order, *TELEMETRY.row_id, "subsystem", "anomaly"])
     raw = {c: f"_raw_{c}" for c in CHANNELS if c in keep}
     slim = df.select(*keep, *[F.col(c).alias(raw.get(c, c)) for c in CHANNELS])
     names = [raw.get(c, c) for c in CHANNELS]
-    return prepared(sequence.scaled_channels(slim, names)), names
+    return sequence.scaled_channels(slim, names), names
 
 
 @query("detect_window_reconstruction", "DET11 SCO1 WIN14")
