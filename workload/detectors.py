@@ -123,15 +123,15 @@ def score_realness_residual(spark, sf):
 @query(
     "fun_mixture_energy",
     "FUN8",
-    """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
-    l AS (SELECT vec_id, ln(0.7) - 0.5 * (a * a / 0.02 + b * b / 0.03 + ln(0.02) + ln(0.03) + 2 * ln(2 * pi())) AS l1,
-      ln(0.3) - 0.5 * (pow(a - 0.1, 2) / 0.01 + pow(b + 0.1, 2) / 0.05 + ln(0.01) + ln(0.05) + 2 * ln(2 * pi())) AS l2 FROM v)
-    SELECT vec_id, round(-(greatest(l1, l2) + ln(exp(l1 - greatest(l1, l2)) + exp(l2 - greatest(l1, l2)))), 6) AS energy FROM l""",
+    f"""WITH {_VEC_SQL}, t AS (SELECT vec_id, sum(e * e) AS s0, sum((e - 0.05) * (e - 0.05)) AS s1 FROM dims GROUP BY vec_id),
+    l AS (SELECT vec_id, ln(0.7) - 0.5 * (s0 / 0.02 + 64 * ln(0.02) + 64 * ln(2 * pi())) AS l1,
+      ln(0.3) - 0.5 * (s1 / 0.03 + 64 * ln(0.03) + 64 * ln(2 * pi())) AS l2 FROM t)
+    SELECT vec_id, round(-(greatest(l1, l2) + ln(exp(l1 - greatest(l1, l2)) + exp(l2 - greatest(l1, l2)))), 5) AS energy FROM l""",
 )
 def fun_mixture_energy(spark, sf):
-    x = F.slice("features", 1, 2)
-    energy = arr.diagonal_energy(x, [0.7, 0.3], [[0.0, 0.0], [0.1, -0.1]], [[0.02, 0.03], [0.01, 0.05]])
-    return vectors(spark, sf).select("vec_id", F.round(energy, 6).alias("energy"))
+    means = [[0.0] * WIDTH, [0.05] * WIDTH]
+    energy = arr.diagonal_energy(F.col("features"), [0.7, 0.3], means, [[0.02] * WIDTH, [0.03] * WIDTH])
+    return vectors(spark, sf).select("vec_id", F.round(energy, 5).alias("energy"))
 
 
 def _knn_sql(k: int, own: bool) -> str:
