@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, linededup, quality, secrets, urlfilter
+from tidemark.llm import chat, jaccard, linededup, quality, secrets, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,3 +257,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )
+
+
+@query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = jaccard.JaccardRule(words=3, at_least=90)
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), rule)
