@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, linededup, packing, quality, secrets, tokencount, urlfilter
+from tidemark.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    langid,
+    linededup,
+    packing,
+    quality,
+    secrets,
+    tokencount,
+    urlfilter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,3 +296,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    network = langid.fit_languages(docs.filter(~held_out))
+    found = langid.predict_languages(docs, network)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
