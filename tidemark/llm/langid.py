@@ -33,15 +33,23 @@ class LanguageRule:
     seed: int = 7
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def squash(x: np.ndarray) -> np.ndarray:
+    """A rational tanh, which is exactly 1 from 3 on; it needs no transcendental function per byte and unit."""
+    x = np.clip(x, -3, 3)
+    square = x * x
+    return x * (27 + square) / (27 + 9 * square)
+
+
+def squash_slope(x: np.ndarray) -> np.ndarray:
+    square = np.minimum(x * x, 9)
+    return ((9 - square) / (9 + 3 * square)) ** 2
 
 
 class ByteNetwork:
     """Weights and passes. Arrays have the direction first and the lanes last; the backward direction reads from the end.
 
-    Gates: z = s(e_z + U_z h), r = s(e_r + U_r h), n = tanh(e_n + r (U_n h + b)), h' = (1 - z) n + z h, with e from a
-    table by byte. Both directions' states at a position give the label scores there.
+    Gates: z = s(e_z + U_z h), r = s(e_r + U_r h), n = q(e_n + r (U_n h + b)), h' = (1 - z) n + z h, with e from a
+    table by byte, q = ``squash`` and s(x) = (1 + q(x / 2)) / 2. Both directions' states at a position give the label scores there.
     """
 
     NAMES = ("table", "state", "bias", "out", "out_bias")
@@ -69,11 +77,13 @@ class ByteNetwork:
         for t in range(steps):
             x = self._inputs(data, t, np.empty((2, 3 * k, lanes), np.float32))
             u = self.state @ h
-            gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
+            a = 0.5 * (x[:, : 2 * k] + u[:, : 2 * k])
+            gates = 0.5 * squash(a) + 0.5
             z, r = gates[:, :k], gates[:, k:]
             c = u[:, 2 * k :] + self.bias
-            n = np.tanh(x[:, 2 * k :] + r * c)
-            kept.append((h, z, r, c, n))
+            m = x[:, 2 * k :] + r * c
+            n = squash(m)
+            kept.append((h, z, r, c, n, 0.25 * squash_slope(a), squash_slope(m)))
             h = n + z * (h - n)
         states = np.stack([after[0] for after in kept[1:]] + [h])  # steps, direction, unit, lane
         both = np.concatenate([states[:, 0], states[::-1, 1]], axis=1)
@@ -92,11 +102,11 @@ class ByteNetwork:
         carried = np.zeros_like(h)
         by_byte = np.empty((2, 3 * k, steps, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            h, z, r, c, n = kept[t]
+            h, z, r, c, n, gate_slope, n_slope = kept[t]
             d = carried + np.stack([into[t, :k], into[steps - 1 - t, k:]])
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * c * r * (1 - r)
+            dn = d * (1 - z) * n_slope
+            dz = d * (h - n) * gate_slope[:, :k]
+            dr = dn * c * gate_slope[:, k:]
             dc = dn * r
             du = np.concatenate([dz, dr, dc], axis=1)
             by_byte[:, :, t] = np.concatenate([dz, dr, dn], axis=1)
@@ -135,31 +145,43 @@ class ByteNetwork:
         k = self.hidden
         h = np.zeros((2, k, lanes), np.float32)
         x, u = np.empty((2, 3 * k, lanes), np.float32), np.empty((2, 3 * k, lanes), np.float32)
-        states = np.empty((2, steps, k, lanes), np.float32)
+        states = np.empty((steps, 2 * k, lanes), np.float32)
+        spare = np.empty((2, 2 * k, lanes), np.float32)
         full = mask.all(axis=1)
+
+        def squashed(v: np.ndarray, square: np.ndarray, scale: float) -> None:
+            """v becomes scale * squash(v)."""
+            np.clip(v, -3, 3, out=v)
+            np.multiply(v, v, out=square)
+            square += 27
+            v *= square
+            square *= 9 / scale
+            square += (27 - 27 * 9) / scale
+            v /= square
+
         for t in range(steps):
             self._inputs(data, t, x)
             np.matmul(self.state, h, out=u)
             gates = x[:, : 2 * k]
             gates += u[:, : 2 * k]
             gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates *= 0.5
+            squashed(gates, spare, 0.5)
             gates += 0.5
             n = u[:, 2 * k :]
             n += self.bias
             n *= gates[:, k:]
             n += x[:, 2 * k :]
-            np.tanh(n, out=n)
+            squashed(n, spare[:, :k], 1)
             h -= n
             h *= gates[:, :k]
             h += n
             if not full[-1 - t]:
                 h[1] *= mask[-1 - t]
-            states[0, t], states[1, steps - 1 - t] = h[0], h[1]
+            states[t, :k], states[steps - 1 - t, k:] = h[0], h[1]
         total = np.zeros((len(self.labels), lanes), np.float32)
         for t in range(steps):
-            p = self.out[:, :k] @ states[0, t] + self.out[:, k:] @ states[1, t] + self.out_bias
+            p = self.out @ states[t]
+            p += self.out_bias
             p -= p.max(axis=0)
             np.exp(p, out=p)
             p *= mask[t] / p.sum(axis=0)
