@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             numbers = memo.look(data, starts, ends, span_hashes(data, starts, ends))
             values = memo.rows(numbers).reshape(-1, 2)
             n = np.bincount(owner, values[:, 0], batch.num_rows).astype(np.int64)
-            score = np.bincount(owner, values[:, 1], batch.num_rows)
+            score = np.bincount(owner, values[:, 1], batch.num_rows).astype(float)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(score)], names=["id", "n_tokens", "score"])
 
     return d.mapInArrow(read, f"id {kind}, n_tokens long, score double").withColumnRenamed("id", id_col)
