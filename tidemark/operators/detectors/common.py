@@ -78,3 +78,28 @@ def partition_sums(rows: DataFrame, array: str, width: int, step) -> np.ndarray:
 
     parts = rows.select(array).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
     return parts.toPandas().sort_values("i")["v"].to_numpy()
+
+
+def as_blocks(rows: DataFrame, array: str) -> DataFrame:
+    """The arrays of each Arrow batch as the bytes of one matrix, for fits that read all rows many times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([stacked(batch.column(0)).tobytes()], pa.binary())], ["block"])
+
+    return rows.select(array).mapInArrow(run, "block binary")
+
+
+def block_sums(blocks: DataFrame, d: int, width: int, step) -> np.ndarray:
+    """``partition_sums`` over blocks of d columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for block in batch.column(0):
+                total += step(np.frombuffer(block.as_buffer(), dtype=float).reshape(-1, d))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+    parts = blocks.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return parts.toPandas().sort_values("i")["v"].to_numpy()
