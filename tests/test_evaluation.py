@@ -151,3 +151,22 @@ def test_agreement_matches_numpy_and_nulls_constant_vectors(votes):
     a, b = [1, 1, 1, 0, 0, 0], [0, 0, 1, 1, 0, 0]
     assert got[("a", "b")] == pytest.approx(np.corrcoef(a, b)[0, 1])
     assert got[("a", "d")] is None
+
+
+@pytest.mark.parametrize("xi", [0.0, 0.3, 0.9, 1.3, 2.0])
+def test_tail_likelihood_reaches_its_optimum(spark, xi):
+    rng = np.random.default_rng(11)
+    u = rng.random(20_000)
+    x = -np.log(u) if xi == 0 else (u**-xi - 1) / xi
+    df = spark.createDataFrame([(float(v),) for v in x], "score double")
+    found = th.pot_threshold(df, [], method="likelihood").first()
+    tail = x[x > found["u"]] - found["u"]
+
+    def level(theta):
+        shape = np.log1p(-theta * tail).mean()
+        return -np.log(-shape / theta) - shape - 1
+
+    grid = -np.geomspace(1e-9 / tail.max(), 1e3 / tail.min(), 20_000)
+    best = max(level(t) for t in [*grid, *np.linspace(1e-6, 0.999, 2_000) / tail.max()] if -np.log1p(-t * tail).mean() / t > 0)
+    own = -found["xi"] / found["sigma"]
+    assert level(own) >= best - 1e-6

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.sizing import broadcast_if_small, join_on
+from tidemark.plans.sizing import join_on
 
 DAY_STEPS = 1440
 
@@ -130,7 +130,7 @@ def inject(
     on = (F.col(step) >= F.col("_e_start")) & (F.col(step) < F.col("_e_end"))
     for c in series:
         on = on & (F.col(c) == F.col(f"_e_{c}"))
-    hit = df.join(broadcast_if_small(eps), on)
+    hit = df.join(eps, on)
 
     p, m = (F.col(step) - F.col("_e_start")).cast("double"), (F.col("_e_end") - F.col("_e_start")).cast("double")
     kind, channel, size = F.col("_e_kind"), F.col("_e_channel"), F.col("_e_size")
@@ -185,10 +185,10 @@ def _hold(out: DataFrame, eps: DataFrame, series: Sequence[str], step: str) -> D
     renamed = starts.select(*[F.col(c).alias(f"_s_{c}") for c in series], "_hold_from")
     for c in series:
         on = on & (F.col(c) == F.col(f"_s_{c}"))
-    last = base.join(broadcast_if_small(renamed), on).select(
+    last = base.join(renamed, on).select(
         *series, "_hold_from", *[F.col(c).alias(f"_h_{c}") for c in HELD_CHANNELS], F.col("heartbeat").alias("_hb")
     )
-    joined = join_on(out, broadcast_if_small(last), [*series, "_hold_from"], "left")
+    joined = join_on(out, last, [*series, "_hold_from"], "left")
     return joined.withColumn(
         "_h_heartbeat", F.when(F.col("_frozen_from") == F.col("_hold_from"), F.col("_hb"))
     ).drop("_hb")
@@ -199,7 +199,7 @@ def rule_alarm(df: DataFrame, spec_table: DataFrame, error_band: float = 0.15, b
 
     ``spec_table``: subsystem, temp_mean, temp_band, voltage_mean, voltage_band.
     """
-    joined = df.join(broadcast_if_small(spec_table), "subsystem", "left")
+    joined = df.join(spec_table, "subsystem", "left")
     fired = (
         (F.abs(F.col("temperature") - F.col("temp_mean")) > F.col("temp_band"))
         | (F.abs(F.col("voltage") - F.col("voltage_mean")) > F.col("voltage_band"))

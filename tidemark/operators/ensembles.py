@@ -57,12 +57,6 @@ def anomaly_types(rows: DataFrame, kind: str = "anomaly_type", normal: str = "no
     return rows.filter(F.col(kind) != normal).select(kind).distinct().orderBy(kind)
 
 
-def catches(predictions: DataFrame, rows: DataFrame, row_id: str = "row_id", label: str = "anomaly") -> DataFrame:
-    """(model, row_id) of every true anomaly that a model flagged: the ones of the catch matrix."""
-    truth = rows.filter(F.col(label) == 1).select(row_id)
-    return predictions.filter(F.col("predicted") == 1).select("model", row_id).join(truth, row_id, "left_semi")
-
-
 def catch_matrix(
     predictions: DataFrame, rows: DataFrame, models: Sequence[str], row_id: str = "row_id", label: str = "anomaly"
 ) -> DataFrame:

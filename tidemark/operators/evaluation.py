@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.segments import adjusted_counts, number_segments
 from tidemark.operators.thresholds import best_threshold, exact_quantiles, f1_of, flag, safe_ratio, score_cuts
-from tidemark.plans.sizing import broadcast_if_small, broadcast_rows_limit, join_on
+from tidemark.plans.sizing import join_on
 from tidemark.spec import SeriesSpec
 
 HISTOGRAM_BINS = 59
@@ -96,10 +96,7 @@ def compute_metrics(
     if thresholds is None:
         thresholds = best_threshold(cuts, keys, score)
     grouped = SeriesSpec((*keys, *spec.series), spec.order, spec.row_id)
-    # One threshold per group: the number of groups tells whether they can be broadcast.
-    limit = broadcast_rows_limit(df.sparkSession)
-    few = bool(keys) and df.select(*keys).distinct().limit(limit + 1).count() <= limit
-    flagged = join_on(df, F.broadcast(thresholds) if few else thresholds, keys)
+    flagged = join_on(df, thresholds, keys)
     flagged = flagged.withColumn("predicted", flag(F.col(score), F.col("threshold")))
     slim = list(dict.fromkeys([*grouped.series, *spec.order, label, "predicted"]))
     numbered = number_segments(flagged.select(*slim), grouped, label)
@@ -115,10 +112,10 @@ def compute_metrics(
 def fault_coverage(df: DataFrame, faults: DataFrame, step: str, predicted: str = "predicted") -> DataFrame:
     """Share of flagged steps in each named interval [start, end).
 
-    The interval table is small (its size is checked before it is broadcast).
+    Spark broadcasts the intervals if they are small; a longer list meets the rows by blocks of its own choice.
     """
     inside = (F.col(step) >= F.col("start")) & (F.col(step) < F.col("end"))
-    return df.join(broadcast_if_small(faults), inside).groupBy("name").agg(F.avg(predicted).alias("coverage"))
+    return df.join(faults, inside).groupBy("name").agg(F.avg(predicted).alias("coverage"))
 
 
 def reference_series(df: DataFrame, spec: SeriesSpec, label: str = "label") -> DataFrame:
@@ -149,19 +146,27 @@ def type_counts(df: DataFrame, kind: str) -> DataFrame:
 
 
 def score_histogram(
-    df: DataFrame, score: str = "score", label: str = "label", bins: int = HISTOGRAM_BINS, top: float = HISTOGRAM_TOP
+    df: DataFrame,
+    score: str = "score",
+    label: str = "label",
+    bins: int = HISTOGRAM_BINS,
+    top: float = HISTOGRAM_TOP,
+    overflow: bool = False,
 ) -> DataFrame:
     """Counts per (bin, class) on equal bins from the minimum to the top quantile.
 
-    Scores above the top quantile are outside of the plotted range and not counted,
-    the upper edge belongs to the last bin.
+    The upper edge belongs to the last bin.  Scores above the top quantile are outside of the plotted range; with
+    ``overflow`` they are counted in a bin behind the last one.
     """
     low = df.agg(F.min(score).alias("lo"))
     high = exact_quantiles(df.select(score), [], score, [top]).select(F.col("quantile").alias("hi"))
     edges = low.join(F.broadcast(high))
-    ranged = df.join(F.broadcast(edges)).filter(F.col(score) <= F.col("hi"))
+    ranged = df.join(F.broadcast(edges))
+    above = F.col(score) > F.col("hi")
+    ranged = ranged if overflow else ranged.filter(~above)
     width = (F.col("hi") - F.col("lo")) / bins
-    bin_no = F.least(F.floor((F.col(score) - F.col("lo")) / width), F.lit(bins - 1)).cast("long")
+    inside = F.least(F.floor((F.col(score) - F.col("lo")) / width), F.lit(bins - 1))
+    bin_no = F.when(above, bins).otherwise(inside).cast("long")
     return ranged.groupBy(bin_no.alias("bin"), F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 

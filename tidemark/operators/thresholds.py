@@ -224,44 +224,50 @@ def pot_threshold(
     return fitted.select(*keys, "u", "n", "n_tail", "xi", "sigma", zq.alias("zq"))
 
 
+def _theta(v: Column) -> Column:
+    """The searched parameter for v in [-1, 1]: from v < 0 heavy tails, by magnitude, to v > 0 bounded ones."""
+    low, high = F.ln(1e-8 / F.col("x_max")), F.ln(1e3 / F.col("x_min"))
+    return F.when(v < 0, -F.exp(low - v * (high - low))).otherwise(v * (1.0 - 1e-6) / F.col("x_max"))
+
+
 def fit_tail_by_likelihood(df: DataFrame, moments: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Maximum-likelihood tail per key by the profile over one parameter.
 
-    With theta = -xi/sigma the likelihood only needs the mean of ln(1 - theta*x), so a
-    grid of theta is rated by plain aggregates over the excesses; the grid is refined
-    around its best point until the steps are small.  No task holds a key's excesses.
+    With theta = -xi/sigma the likelihood only needs the mean of ln(1 - theta*x), so a grid of theta is rated by plain
+    aggregates over the excesses; the grid is refined around its best point until the steps are small.  It covers all
+    magnitudes that the excesses can tell apart, evenly in the logarithm.  No task holds a key's excesses.
     """
     levels = moments.select(*keys, "u")
     joined = join_on(df.select(*keys, score), levels, keys)
     excess = joined.filter(F.col(score) > F.col("u")).select(*keys, (F.col(score) - F.col("u")).alias("x"))
-    excess = excess.persist()
-    span = excess.groupBy(*keys).agg(F.max("x").alias("x_max"), F.avg("x").alias("x_avg"))
-    # theta < 1/x_max; the search interval follows the scale of the excesses.
-    bounds = span.select(*keys, (-20.0 / F.col("x_avg")).alias("lo"), ((1.0 - 1e-6) / F.col("x_max")).alias("hi"))
-    steps = 24
+    excess = checkpointed(excess)
+    span = checkpointed(excess.groupBy(*keys).agg(F.max("x").alias("x_max"), F.min("x").alias("x_min")))
+    bounds = span.withColumns({"lo": F.lit(-1.0), "hi": F.lit(1.0)})
+    steps = 48
     best = None
     for _ in range(7):
-        grid = bounds.select(
-            *keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i")
-        ).withColumn("theta", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / steps)
-        wide = grid.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list("theta")).alias("thetas"))
+        at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * (i / steps)
+        wide = bounds.select("*", F.array(*[_theta(at(i)) for i in range(steps + 1)]).alias("thetas"))
         logs = F.array(*[F.avg(F.log1p(-F.col("thetas")[i] * F.col("x"))) for i in range(steps + 1)])
-        rated = join_on(excess, wide, keys).groupBy(*keys, "lo", "hi", "thetas").agg(logs.alias("m"))
-        flat = rated.select(*keys, "lo", "hi", F.posexplode(F.arrays_zip("thetas", "m")).alias("i", "g"))
+        held = [*keys, "x_max", "x_min", "lo", "hi", "thetas"]
+        rated = join_on(excess, wide, keys).groupBy(*held).agg(logs.alias("m"))
+        flat = rated.select(*held[:-1], F.posexplode(F.arrays_zip("thetas", "m")).alias("i", "g"))
         theta, mean_log = F.col("g.thetas"), F.col("g.m")
         # xi = mean ln(1 - theta x), sigma = -xi/theta; profile log-likelihood per row.
         xi = mean_log
-        sigma = -xi / theta
-        usable = (F.abs(theta) > 1e-12) & (sigma > 0) & (xi > -1.0)
+        sigma = F.when(theta != 0, -xi / theta)
+        usable = (theta != 0) & (sigma > 0) & (xi > -1.0)
         rated = flat.select(
-            *keys, "lo", "hi", theta.alias("theta"), xi.alias("xi"), sigma.alias("sigma"),
+            *held[:-1], "i", xi.alias("xi"), sigma.alias("sigma"),
             F.when(usable, -F.ln(sigma) - xi - 1.0).otherwise(F.lit(float("-inf"))).alias("ll"),
         )
-        best = rated.groupBy(*keys, "lo", "hi").agg(F.max_by(F.struct("theta", "xi", "sigma"), "ll").alias("b"))
+        best = checkpointed(
+            rated.groupBy(*held[:-1]).agg(F.max_by(F.struct("i", "xi", "sigma"), F.struct("ll", -F.col("i"))).alias("b"))
+        )
         width = (F.col("hi") - F.col("lo")) / steps
-        limits = best.select(*keys, (F.col("b.theta") - width).alias("lo"), F.col("b.theta").alias("mid"), width.alias("w"))
-        bounds = join_on(limits, span, keys).select(
-            *keys, "lo", F.least(F.col("mid") + F.col("w"), (1.0 - 1e-6) / F.col("x_max")).alias("hi")
+        middle = F.col("lo") + width * F.col("b.i")
+        bounds = best.select(
+            *keys, "x_max", "x_min",
+            F.greatest(F.lit(-1.0), middle - width).alias("lo"), F.least(F.lit(1.0), middle + width).alias("hi"),
         )
-        bounds = checkpointed(bounds)
     return best.select(*keys, "b.xi", "b.sigma")

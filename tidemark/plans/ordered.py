@@ -13,6 +13,7 @@ Both shapes return the same rows and the same values.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -27,8 +28,6 @@ BUCKET = "_bucket"
 POS = "_pos"
 CHUNK = "_chunk"
 
-MAX_BUCKETS = 4096
-
 
 def order_value(df: DataFrame, column: str) -> Column:
     """The column as a double that never decreases when the column increases."""
@@ -44,8 +43,10 @@ def order_value(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.NumericType):
         return c.cast("double")
     if isinstance(kind, T.StringType):
-        # The first six bytes as a number; strings order by their bytes.
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        # Six bytes as a number, behind what all values have in common; strings order by their bytes.
+        ends = df.agg(F.min(c), F.max(c)).first()
+        same = os.path.commonprefix([(v or "").encode() for v in ends])
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), len(same) + 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")
     raise TypeError(f"{column}: ordering by {kind.simpleString()} cannot be bucketed")
 
@@ -58,7 +59,7 @@ def with_order_bucket(df: DataFrame, column: str, rows_per_bucket: int) -> DataF
     """
     value = order_value(df, column)
     total = df.count()
-    buckets = min(MAX_BUCKETS, max(2, -(-total // rows_per_bucket)))
+    buckets = max(2, -(-total // rows_per_bucket))
     fractions = [i / buckets for i in range(1, buckets)]
     found = df.agg(F.percentile_approx(value, fractions, 10 * buckets).alias("cuts")).first()["cuts"]
     cuts = sorted(set(found or []))

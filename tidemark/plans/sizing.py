@@ -35,12 +35,6 @@ def is_large(df: DataFrame, keys: Sequence[str]) -> bool:
     return largest_group(df, keys) > group_rows_limit(df.sparkSession)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only after counting the rows, otherwise leave the join to AQE."""
-    limit = broadcast_rows_limit(df.sparkSession)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys, null keys included, keeping the key columns of the left side once.
 

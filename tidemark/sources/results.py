@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.sizing import broadcast_if_small
 
 KEEP = ("row_id", "timestamp", "element_id", "subsystem", "anomaly")
 
@@ -77,7 +76,7 @@ def leaderboard(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     ``registry``: model, ord.
     """
     seconds = F.coalesce(F.col("predict_time_s"), F.lit(0.0))
-    joined = metrics.join(broadcast_if_small(registry), "model", "left")
+    joined = metrics.join(registry, "model", "left")
     digits = ("precision", "recall", "f1", "roc_auc", "pr_auc", "pa_f1", "threshold")
     return joined.select(
         "model",

@@ -30,9 +30,19 @@ LABELED = T.StructType([*UNLABELED.fields, *GROUND_TRUTH.fields[1:]])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, kind: str = "parquet") -> DataFrame:
-    """A table with a stated schema; CSV has a header.  No global sort: windows state their order."""
+    """A table with a stated schema.  No global sort: windows state their order.
+
+    CSV has a header, and columns are taken by its names in any order; what the file lacks is null.
+    """
+    if kind == "csv":
+        found = spark.read.option("header", True).csv(path)
+        if schema is None:
+            return found
+        have = set(found.columns)
+        cast = lambda f: F.col(f"`{f.name}`") if f.name in have else F.lit(None)
+        return found.select(*[cast(f).cast(f.dataType).alias(f.name) for f in schema])
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
+    return reader.format(kind).load(path)
 
 
 def load_labeled(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

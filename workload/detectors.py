@@ -293,16 +293,16 @@ def detect_isolation_forest(spark, sf):
 
 @query("detect_knn_density", "DET2 SRT4 JOI6")
 def detect_knn_density(spark, sf):
-    df = matrix(spark, sf).withColumn("key", F.xxhash64(*TEL_IDS))
+    df = matrix(spark, sf)
     reference = sm.fixed_sample(df, TEL_IDS, 8000)
-    return scores_of(nb.kth_distance(df, reference, "key", k=10))
+    return scores_of(nb.kth_distance(df, reference, TEL_IDS, k=10))
 
 
 @query("detect_sample_clusters", "DET3 AGG16 AGG14")
 def detect_sample_clusters(spark, sf):
     df = matrix(spark, sf).withColumn("key", F.xxhash64(*TEL_IDS))
     reference = sm.fixed_sample(df, TEL_IDS, 8000)
-    near = nb.kth_distance(reference, reference, "key", k=10)
+    near = nb.kth_distance(reference, reference, TEL_IDS, k=10)
     eps = exact_quantiles(near.select("score"), [], "score", [0.95]).first()["quantile"]
     return nb.cluster_sizes(nb.sample_clusters(df, "key", "features", 5000, eps, 10))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.features import rolling_columns
 from tidemark.operators.thresholds import best_threshold, flag, score_cuts
 from tidemark.plans.ordered import POS, over_series
-from tidemark.plans.sizing import broadcast_if_small, join_on
+from tidemark.plans.sizing import join_on
 from tidemark.spec import SeriesSpec
 
 EVENTS = SeriesSpec(("element_id",), ("ts", "row_id"), ("row_id",))
@@ -187,7 +187,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The four models flagged at their best F1 threshold."""
     ms = model_scores(spark, sf)
     thresholds = best_threshold(score_cuts(ms, ["model"]), ["model"])
-    joined = join_on(ms, broadcast_if_small(thresholds), ["model"])
+    joined = join_on(ms, thresholds, ["model"])
     return joined.withColumn("predicted", flag(F.col("score"), F.col("threshold")))
 
 

@@ -59,8 +59,10 @@ def stream_spot_batch(spark, sf):
 
 @query("stream_spot", "STR1")
 def stream_spot(spark, sf):
-    start, _ = _calibration(spark, sf)
-    stream = timed(event_stream(spark, sf), "ts", "1 hour")
+    start, rows = _calibration(spark, sf)
+    # the rows after those that the state was calibrated on, as in the batch form
+    later = event_stream(spark, sf).join(rows.select("row_id"), "row_id", "left_semi")
+    stream = timed(later, "ts", "1 hour")
     out = spot_stream(stream, ["subsystem"], ["ts", "row_id"], ["row_id"], start, "value")
     return finished(spark, out, "spot")
 

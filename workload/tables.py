@@ -35,7 +35,8 @@ IDS = ", ".join(TEL_IDS)
 def _labeled_events(spark, sf):
     """events under the column names of the labeled telemetry schema."""
     return events(spark, sf).select(
-        "row_id", F.col("element_id").cast("string").alias("element_id"), "subsystem",
+        "row_id", F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("element_id").cast("string").alias("element_id"), "subsystem",
         F.col("value").alias("temperature"), "alarm", "anomaly", "anomaly_type",
     )
 
@@ -43,13 +44,15 @@ def _labeled_events(spark, sf):
 @query(
     "source_load_labeled",
     "SRC1 SRC4",
-    f"WITH {EVENTS_SQL} SELECT row_id, CAST(element_id AS VARCHAR) AS element_id, subsystem, value AS temperature, alarm, anomaly, anomaly_type FROM ev",
+    f"""WITH {EVENTS_SQL} SELECT row_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS read_at, CAST(element_id AS VARCHAR) AS element_id,
+    subsystem, value AS temperature, alarm, anomaly, anomaly_type FROM ev""",
 )
 def source_load_labeled(spark, sf):
     folder = work_folder(spark, "views")
     tel.write_views(_labeled_events(spark, sf), folder)
     cols = ["row_id", "element_id", "subsystem", "temperature", "alarm", "anomaly", "anomaly_type"]
-    return tel.load_labeled(spark, f"{folder}/labeled").select(*cols)
+    read_at = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("read_at")
+    return tel.load_labeled(spark, f"{folder}/labeled").select(*cols, read_at)
 
 
 @query(
@@ -60,10 +63,7 @@ def source_load_labeled(spark, sf):
 def source_load_unlabeled_with_truth(spark, sf):
     folder = work_folder(spark, "views")
     tel.write_views(_labeled_events(spark, sf), folder, "csv")
-    # CSV carries only the written columns, in their order.
-    plain = spark.read.option("header", True).schema(
-        "row_id long, element_id string, subsystem string, temperature double, alarm int"
-    ).csv(f"{folder}/unlabeled")
+    plain = tel.load_unlabeled(spark, f"{folder}/unlabeled", "csv")
     truth = tel.load_ground_truth(spark, f"{folder}/ground_truth", "csv")
     out = tel.attach_ground_truth(plain, truth)
     return out.select("row_id", "temperature", "alarm", "anomaly", "anomaly_type")
