@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     context.setCheckpointDir(named)
     return named
 
