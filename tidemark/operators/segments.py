@@ -47,8 +47,11 @@ def point_adjust(
         return adjusted.drop(POS, "segment")
     hits = runs.filter(F.col("segment").isNotNull()).groupBy(*spec.series, "segment")
     hits = hits.agg(F.max(predicted).alias("_hit"))
-    joined = join_on(runs, hits, [*spec.series, "segment"], "left")
-    return joined.withColumn(out, F.coalesce("_hit", predicted)).drop(POS, "segment", "_hit")
+    # rows outside of runs stay as they are, and so do not meet under one null key
+    inside = join_on(runs.filter(F.col("segment").isNotNull()), hits, [*spec.series, "segment"])
+    adjusted = inside.withColumn(out, F.col("_hit")).drop("_hit")
+    rest = runs.filter(F.col("segment").isNull()).withColumn(out, F.col(predicted))
+    return adjusted.unionByName(rest).drop(POS, "segment")
 
 
 def adjusted_counts(

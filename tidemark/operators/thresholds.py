@@ -81,12 +81,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ranked = running_sums(blocks, keys, [value], {"_upto": F.col("_n")})
     sizes = blocks.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = join_on(ranked, sizes, keys)
-    wanted = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    rank = (F.col("_size") - 1) * F.col("prob")
-    low, high = F.floor(rank), F.ceil(rank)
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     at = lambda r: F.max(F.when((r >= first) & (r <= last), F.col(value)))
-    near = wanted.filter(((low >= first) & (low <= last)) | ((high >= first) & (high <= last)))
+
+    def here(p):
+        """Whether one of the two neighbours of the wanted rank lies in this block."""
+        r = (F.col("_size") - 1) * p
+        return ((F.floor(r) >= first) & (F.floor(r) <= last)) | ((F.ceil(r) >= first) & (F.ceil(r) <= last))
+
+    # a block only unfolds into the probabilities whose ranks it holds
+    near = ranked.withColumn("prob", F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probs]), here)))
+    rank = (F.col("_size") - 1) * F.col("prob")
+    low, high = F.floor(rank), F.ceil(rank)
     picked = near.groupBy(*keys, "prob").agg(
         at(low).alias("_lo"), at(high).alias("_hi"), F.max(rank - low).alias("_part")
     )
