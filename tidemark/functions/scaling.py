@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,21 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> Da
     joined = df.join(F.broadcast(scaler))
     scaled = {c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"{c}_mu")) / F.col(f"{c}_sd") for c in columns}
     return joined.withColumns(scaled).select(*df.columns)
+
+
+@dataclass(frozen=True)
+class Standard:
+    """A fitted scaler as numbers, for saving it with a model."""
+
+    means: np.ndarray
+    deviations: np.ndarray
+
+    @staticmethod
+    def of(train: DataFrame, columns: Sequence[str], ddof: int = 0) -> Standard:
+        row = fit_scaler(train, columns, ddof).first()
+        return Standard(np.array([row[f"{c}_mu"] for c in columns]), np.array([row[f"{c}_sd"] for c in columns]))
+
+    def apply(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Replace each column by its z-score."""
+        scaled = zip(columns, self.means.tolist(), self.deviations.tolist())
+        return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / d for c, m, d in scaled})

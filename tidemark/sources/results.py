@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+# Names and order of the columns of predictions and metric records.
 KEEP = ("row_id", "timestamp", "element_id", "subsystem", "anomaly")
 
 METRICS = T.StructType(
@@ -77,6 +77,7 @@ def leaderboard(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     """
     seconds = F.coalesce(F.col("predict_time_s"), F.lit(0.0))
     joined = metrics.join(registry, "model", "left")
+    # What a leaderboard rounds to four digits.
     digits = ("precision", "recall", "f1", "roc_auc", "pr_auc", "pa_f1", "threshold")
     return joined.select(
         "model",

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from tidemark.artifacts import load_artifact, save_artifact
 from tidemark.functions import arrays as arr
 from tidemark.functions import scores as sc
-from tidemark.functions.scaling import apply_scaler, fit_scaler
+from tidemark.functions.scaling import Standard, apply_scaler, fit_scaler
 from tidemark.operators import features as feat
 from tidemark.operators import neighbors as nb
 from tidemark.operators import sampling as sm
 from tidemark.operators.detectors import forest, linear, mixture, sequence, supervised
 from tidemark.operators.thresholds import exact_quantiles
 from tidemark.operators.windows import score_windows, temporal_split, time_bucket
+from tidemark.plans.stages import work_folder
 from workload.catalog import query
 from workload.roles import TEL_IDS, TEL_W, TELEMETRY, TELEMETRY_SQL, telemetry, vectors
 
@@ -313,6 +315,24 @@ def detect_pca(spark, sf):
     return scores_of(linear.pca_score(df, linear.fit_components(df, 10)))
 
 
+@query("detect_saved_artifact", "DET4 PRJ6")
+def detect_saved_artifact(spark, sf):
+    """Scaler, axes and threshold of one version: fitted and saved, then loaded anew to score and flag later rows."""
+    rows = temporal_split(feature_table(spark, sf), TELEMETRY, 0.6)
+    names = [c for c in feature_names(rows) if c != "is_train"]
+    train = rows.filter("is_train = 1")
+    scaler = Standard.of(train, names)
+    scaled = feat.feature_array(scaler.apply(train, names), names)
+    model = linear.fit_components(scaled, 10)
+    cut = exact_quantiles(linear.pca_score(scaled, model).select("score"), [], "score", [0.95]).first()["quantile"]
+    folder = work_folder(spark, "artifact")
+    save_artifact(spark, folder, 1, scaler=scaler, model=model, threshold=cut)
+    found = load_artifact(spark, folder, 1, scaler=Standard, model=linear.Components, threshold=float)
+    later = feat.feature_array(found["scaler"].apply(rows.filter("is_train = 0"), names), names)
+    scores = linear.pca_score(later, found["model"])
+    return scores.select(*TEL_IDS, "anomaly", "score", (F.col("score") >= found["threshold"]).cast("int").alias("predicted"))
+
+
 @query("agg_explained_variance", "AGG21")
 def agg_explained_variance(spark, sf):
     parts = linear.fit_components(matrix(spark, sf), 10)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.artifacts import load_artifact, save_artifact
+from tidemark.functions.scaling import Standard
 from tidemark.operators.windows import temporal_split
 from tidemark.plans.stages import work_folder
 from tidemark.streaming.deadband import fill_grid
@@ -85,12 +87,16 @@ def stream_window_scores(spark, sf):
 @query(
     "stream_row_scores",
     "STR2",
-    f"WITH {EVENTS_SQL} SELECT row_id, round(abs(value - 50.0) / 25.0, 6) AS score FROM ev",
+    f"""WITH {EVENTS_SQL}, f AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM ev)
+    SELECT row_id, round(abs((value - m) / d), 5) AS score FROM ev, f""",
 )
 def stream_row_scores(spark, sf):
-    frozen = lambda df: df.select("row_id", (F.abs(F.col("value") - 50.0) / 25.0).alias("score"))
-    out = finished(spark, score_rows_stream(event_stream(spark, sf), frozen), "rows")
-    return out.select("row_id", F.round("score", 6).alias("score"))
+    folder = work_folder(spark, "scaler")
+    save_artifact(spark, folder, 1, scaler=Standard.of(events(spark, sf), ["value"]))
+    frozen = load_artifact(spark, folder, 1, scaler=Standard)["scaler"]
+    score = lambda df: frozen.apply(df, ["value"]).select("row_id", F.abs("value").alias("score"))
+    out = finished(spark, score_rows_stream(event_stream(spark, sf), score), "rows")
+    return out.select("row_id", F.round("score", 5).alias("score"))
 
 
 _CAUSAL = {
