@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # White space between words.
@@ -57,17 +59,30 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The rows, written to the folder of ``spark.checkpoint.dir`` and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set as the session's checkpoint folder.
 
-    Only a session without that setting (a test) gets a folder of its own beside its warehouse.
+    Only a session without that setting (a test) gets one beside its warehouse.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = frame.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there: a checkpoint."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """As ``cut``, as a compressed table, for what is large."""
+    path = f"{shared_folder(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -4,8 +4,11 @@ Documents of equal shingle sets form a class, and classes are linked. Let ``leas
 set of n shingles must have. Of two linked sets, the first n - least + k shingles of each, in any one order, share k or
 more; so k matches in such prefixes are asked for before two sets are compared.
 
-* Level 1, all sets: order by hash, k of ``level_one``. The documents per prefix shingle give each set's expected
-  candidates. Sets whose cost is below ``cheap`` times the prefix length meet all others here: their candidates are few.
+* Level 1, all sets: order by hash, k growing with n (``level_one`` and one more per ``lengthen`` shingles), so that some
+  lines and turns of phrase in common are not enough; runs of few words need more of them, as they meet more often by
+  chance. A set of which fewer than k prefix shingles are shared at all drops out. The holders of the
+  prefix shingles among the others give each set's expected candidates. Sets whose cost is below ``cheap`` times the
+  prefix length meet all others here: their candidates are few.
 * Level 2, the costly sets among themselves: the prefix is lengthened over the whole set, ordered from the rarest
   shingle on, with k of ``level_two``. A set with more unshared shingles than its partners may lack drops out, and so
   does a pair of which one side shares too little. What still meets is compared with the most central set of each
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, stored
 from tidemark.llm.components import components
 from tidemark.llm.text import LOWER, mix, parts, shingles, span_hashes, utf8, word_places
 
@@ -39,13 +42,21 @@ class JaccardRule:
     at_least: int = 80
     of: int = 100
     level_one: int = 3
-    level_two: int = 4
+    lengthen: int = 20
+    level_two: int = 2
     cheap: int = 8
 
     def least(self, n):
         """The overlap that a set of n needs at least; for numbers, arrays and columns."""
         return (n * self.at_least + (self.of - 1)) // self.of
 
+    def first(self, n: np.ndarray) -> np.ndarray:
+        """The matches asked for at level 1."""
+        return np.minimum(self.least(n), self.level_one + n // self.lengthen)
+
+    def first_sql(self, n: str) -> str:
+        return f"least({self.least_sql(n)}, {self.level_one} + ({n}) div {self.lengthen})"
+
     def least_sql(self, n: str) -> str:
         return f"(({n}) * {self.at_least} + {self.of - 1}) div {self.of}"
 
@@ -93,35 +104,62 @@ def _head(h: np.ndarray, starts: np.ndarray, most: np.ndarray) -> pa.Array:
     )
 
 
-def shingle_rows(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, head): per row the set's size, its class (null if empty) and its prefix by hash."""
+def _read(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str, rest: str, make) -> DataFrame:
+    """Rows (id, ...) that ``make`` draws from the sets of each part of a batch."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "body"):
-            h, starts = _sets(batch, "body", rule.words)
-            n = np.diff(starts)
-            head = n - rule.least(n) + np.minimum(rule.level_one, rule.least(n))
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(n), _binary(_nodes(h, starts), n == 0), _head(h, starts, head)],
-                names=["id", "n", "node", "head"],
-            )
+            yield make(batch["id"], *_sets(batch, "body", rule.words))
 
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
-    kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(read, f"id {kind}, n long, node binary, head array<long>")
+    return d.mapInArrow(read, f"id {d.schema['id'].dataType.simpleString()}, {rest}")
+
+
+def _class_rows(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, class): per row the set's size, and two numbers that equal sets have in common (null if empty)."""
+
+    def make(ids: pa.Array, h: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(starts)
+        return pa.RecordBatch.from_arrays([ids, pa.array(n), _binary(_nodes(h, starts), n == 0)], names=["id", "n", "class"])
+
+    return _read(docs, rule, id_col, text_col, "n long, class binary", make)
 
 
 def _bit(node: Column) -> Column:
     return F.conv(F.hex(F.substring(node, 1, 3)), 16, 10).cast("long") % FILTER_BITS
 
 
+def _named(frame: DataFrame, id_col: str) -> DataFrame:
+    """With ``name``, by which null ids can be joined as well."""
+    return frame.withColumn("name", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+
+def _of_classes(drawn: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """(node, n, ``column``) once for each class, from the row of its least id; rows may be repeated."""
+    reps = _named(classes, "rep").select("class", "name", "node", "n")
+    kept = _named(drawn, "id").drop("id").join(reps, ["class", "name"])
+    return kept.dropDuplicates(["class", "name"]).select("node", "n", column)
+
+
+def _heads(docs: DataFrame, classes: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, head): the prefix of every class by hash."""
+
+    def make(ids: pa.Array, h: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(starts)
+        head = _head(h, starts, n - rule.least(n) + rule.first(n))
+        return pa.RecordBatch.from_arrays([ids, _binary(_nodes(h, starts), n == 0), head], names=["id", "class", "head"])
+
+    drawn = _read(docs, rule, id_col, text_col, "class binary, head array<long>", make)
+    return _of_classes(drawn, classes, "head")
+
+
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, tokens) of the wanted (node, rep): the texts are read again where they are.
+    """(node, n, tokens) of the wanted classes: the texts are read again where they are.
 
     A bit filter of fixed size goes to the readers, and what passes it is joined with the wanted rows.
     """
     found = (
-        wanted.select(_bit(F.col("node")).alias("at"))
+        wanted.select(_bit(F.col("class")).alias("at"))
         .select(F.expr("at div 63").alias("word"), F.pow(F.lit(2), F.col("at") % 63).cast("long").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
@@ -132,27 +170,19 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, rule: JaccardRule, id_col:
         bits[row.word] = row.bits
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "body"):
-            h, starts = _sets(batch, "body", rule.words)
-            n = np.diff(starts)
-            nodes = _nodes(h, starts)
-            first = nodes.view(np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
-            at = ((first[:, 0] << 16) + (first[:, 1] << 8) + first[:, 2]) % FILTER_BITS
-            pick = (n > 0) & (shared.value[at // 63] >> (at % 63) & 1 > 0)
-            sets = _head(h[np.repeat(pick, n)], np.concatenate([[0], np.cumsum(n[pick])]), n[pick])
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"].filter(pa.array(pick)), _binary(nodes[pick], n[pick] == 0), sets],
-                names=["id", "node", "tokens"],
-            )
+    def make(ids: pa.Array, h: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(starts)
+        nodes = _nodes(h, starts)
+        first = nodes.view(np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+        at = ((first[:, 0] << 16) + (first[:, 1] << 8) + first[:, 2]) % FILTER_BITS
+        pick = (n > 0) & (shared.value[at // 63] >> (at % 63) & 1 > 0)
+        sets = _head(h[np.repeat(pick, n)], np.concatenate([[0], np.cumsum(n[pick])]), n[pick])
+        return pa.RecordBatch.from_arrays(
+            [ids.filter(pa.array(pick)), _binary(nodes[pick], n[pick] == 0), sets], names=["id", "class", "tokens"]
+        )
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
-    kind = d.schema["id"].dataType.simpleString()
-    sets = d.mapInArrow(read, f"id {kind}, node binary, tokens array<long>")
-    reps = wanted.select(F.col("node").alias("w"), "rep")
-    kept = sets.join(reps, (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("rep")))
-    # a row that is repeated, and null ids, may bring a set more than once
-    return kept.select("node", F.size("tokens").cast("long").alias("n"), "tokens").dropDuplicates(["node"])
+    drawn = _read(docs, rule, id_col, text_col, "class binary, tokens array<long>", make)
+    return _of_classes(drawn, wanted, "tokens")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -185,7 +215,7 @@ def _cheap_pairs(shared: DataFrame, nodes: DataFrame, rule: JaccardRule) -> Data
     return (
         pairs.groupBy(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b"))
         .agg(F.count("*").alias("matches"), F.min(F.least("n", "n_1")).alias("n"))
-        .filter(f"matches >= least({rule.level_one}, {rule.least_sql('n')})")
+        .filter(f"matches >= {rule.first_sql('n')}")
         .select("a", "b")
     )
 
@@ -201,7 +231,7 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     k = F.least(F.lit(rule.level_two).cast("long"), F.col("least"))
     head = F.slice("order", F.lit(1), (F.col("common") - F.col("least") + k).cast("int"))
     postings = cut(
-        ranked.select("node", "n", "common", k.alias("k"), F.explode(F.transform(head, lambda x: x["token"])).alias("token"))
+        ranked.select("node", "n", "common", F.posexplode(F.transform(head, lambda x: x["token"])).alias("rank", "token"))
     )
     lone = (F.col("n") - F.col("common")).alias("lone")
     centre = postings.groupBy("token").agg(F.min(F.struct(lone, "node")).alias("centre"), F.count("*").alias("df"))
@@ -222,15 +252,20 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
         "token", F.coalesce("label", "centre").alias("main")
     )
     held = cut(held.join(main, "token"))
-    apart = held.filter("label <> main").select("token", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "label", "k")])
+    apart = held.filter("label <> main").select(
+        "token", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "label", "rank")]
+    )
+    # the overlap that this very pair needs says how far its matches may lie from the begin of either side
+    need = rule.both_sql("n", "n_1")
     met = held.join(apart, "token").filter(
         "label <> label_1 and (label = main or node < node_1)"
-        f" and least(common, common_1) >= {rule.both_sql('n', 'n_1')} and least(n, n_1) >= {rule.least_sql('greatest(n, n_1)')}"
+        f" and least(n, n_1) >= {rule.least_sql('greatest(n, n_1)')}"
+        f" and rank < common - {need} + {rule.level_two} and rank_1 < common_1 - {need} + {rule.level_two}"
     )
     rest = (
         met.groupBy(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b"))
-        .agg(F.count("*").alias("matches"), F.min(F.least("k", "k_1")).alias("k"))
-        .filter("matches >= k")
+        .agg(F.count("*").alias("matches"), F.min(F.least("n", "n_1")).alias("n"))
+        .filter(f"matches >= least({rule.level_two}, {rule.least_sql('n')})")
         .select("a", "b")
     )
     return stars.union(_linked(rest, sets, rule))
@@ -246,48 +281,47 @@ def jaccard_join(
     share a class. A row without an id is linked like others; a component without any id has a null one. Texts are read
     whole; a text must fit a task. Other columns are not read. An empty table gives an empty result.
     """
-    rows = cut(shingle_rows(docs, rule, id_col, text_col))
+    rows = cut(_class_rows(docs, rule, id_col, text_col))
     classes = cut(
-        rows.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
-    )
-    shared = cut(_shared(classes.select("node", F.explode("head").alias("token"))))
-    cost = shared.groupBy("node").agg(F.count("*").alias("common"), F.sum(F.col("df") - 1).alias("cost"))
-    nodes = (
-        cost.join(classes.select("node", "n", "rep", F.size("head").alias("length")), "node")
-        .filter(f"common >= least({rule.level_one}, {rule.least_sql('n')})")
-        .select("node", "n", "rep", (F.col("cost") > F.col("length") * rule.cheap).alias("costly"))
+        rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     )
-    nodes = cut(nodes)
+    # numbers are shorter than the classes' names; they are written before they are used, so that they stay
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    heads = _heads(docs, classes, rule, id_col, text_col)
+    shared = stored(_shared(heads.select("node", F.explode("head").alias("token"))).drop("df"))
+    alive = shared.groupBy("node").agg(F.count("*").alias("common")).join(classes, "node")
+    alive = cut(alive.filter(f"common >= {rule.first_sql('n')}"))
+    shared = stored(_shared(shared.join(alive.select("node"), "node")))
+    cost = shared.groupBy("node").agg(F.sum(F.col("df") - 1).alias("cost"))
+    length = F.expr(f"n - {rule.least_sql('n')} + {rule.first_sql('n')}")
+    nodes = cut(alive.join(cost, "node").withColumn("costly", F.col("cost") > length * rule.cheap).drop("cost", "common"))
     pairs = cut(_cheap_pairs(shared, nodes.select("node", "n", "costly"), rule))
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     wanted = nodes.filter("costly").select("node").union(in_pairs).distinct().join(nodes, "node")
-    sets = cut(_wanted_sets(docs, wanted.select("node", "rep"), rule, id_col, text_col))
+    sets = stored(_wanted_sets(docs, wanted, rule, id_col, text_col))
     costly = sets.join(nodes.filter("costly").select("node"), "node", "left_semi")
     links = _linked(pairs, sets, rule).union(_costly_links(costly, rule))
     roots = components(links)
     least = roots.join(classes, "node").groupBy("root").agg(F.min("rep").alias("least"))
     tied = roots.join(least, "root").select("node", "least")
-    ids = classes.join(tied, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.drop("head").join(ids, "node", "left")
+    ids = classes.join(tied, "node", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.join(ids, "class", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def one_of_each(
     docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows whose id is that of their component, with all columns; of repeated rows one stays.
+    """The rows whose id is that of their component, with all columns; of rows that share an id one stays.
 
-    Rows without an id stay if their component has no id at all.
+    Rows without an id stay: no result can name them.
     """
-    found = jaccard_join(docs, rule, id_col, text_col)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    kept = jaccard_join(docs, rule, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
+    kept = kept.select(F.col(id_col).alias("id")).distinct()
     d = docs.select(docs[id_col].alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    d = d.join(kept, F.col("id").eqNullSafe(F.col("_kept")), "left_semi")
-    known = d.filter("id is not null").dropDuplicates(["id"])
+    known = d.filter("id is not null").join(kept, "id", "left_semi").dropDuplicates(["id"])
     return known.union(d.filter("id is null")).select("row.*")

@@ -279,7 +279,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = jaccard.JaccardRule(words=3, at_least=90)
+    rule = jaccard.JaccardRule(words=3, at_least=90, lengthen=8)
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), rule)
 
 
