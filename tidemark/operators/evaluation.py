@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.segments import adjusted_counts, number_segments
-from tidemark.operators.thresholds import best_threshold, exact_quantiles, f1_of, flag, safe_ratio, score_cuts
+from tidemark.operators.thresholds import (
+    best_threshold,
+    exact_quantiles,
+    f1_of,
+    flag,
+    safe_ratio,
+    score_cuts,
+    sweep_threshold,
+)
 from tidemark.plans.sizing import join_on
 from tidemark.spec import SeriesSpec
 
@@ -118,6 +126,38 @@ def fault_coverage(df: DataFrame, faults: DataFrame, step: str, predicted: str =
     return df.join(faults, inside).groupBy("name").agg(F.avg(predicted).alias("coverage"))
 
 
+def sweep_record(
+    df: DataFrame,
+    spec: SeriesSpec,
+    keys: Sequence[str],
+    faults: DataFrame,
+    step: str,
+    score: str = "score",
+    label: str = "label",
+    digits: int | None = None,
+) -> DataFrame:
+    """The record of the threshold sweep: its cut with plain and point-adjusted rates and the coverage of each fault.
+
+    ``faults`` names intervals of ``step``; ``per_fault`` maps those that hold rows to their share of flagged rows.
+    """
+    keys = list(keys)
+    swept = sweep_threshold(df, keys, score, label, digits)
+    flagged = join_on(df, swept.select(*keys, "threshold"), keys)
+    flagged = flagged.withColumn("predicted", flag(F.col(score), F.col("threshold")))
+    grouped = SeriesSpec((*keys, *spec.series), spec.order, spec.row_id)
+    slim = list(dict.fromkeys([*grouped.series, *spec.order, label, "predicted"]))
+    counts = adjusted_counts(number_segments(flagged.select(*slim), grouped, label), spec, keys, label, "predicted")
+    rated = rates("pa_tp", "pa_fp", "pa_fn")
+    adjusted = counts.select(*keys, *[rated[c].alias(f"pa_{c}") for c in ("precision", "recall", "f1")])
+    inside = (F.col(step) >= F.col("start")) & (F.col(step) < F.col("end"))
+    covered = flagged.join(faults, inside).groupBy(*keys, "name").agg(F.avg("predicted").alias("coverage"))
+    # one entry per named fault
+    covered = covered.groupBy(*keys).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "coverage")))).alias("per_fault")
+    )
+    return join_on(join_on(swept, adjusted, keys), covered, keys, "left")
+
+
 def reference_series(df: DataFrame, spec: SeriesSpec, label: str = "label") -> DataFrame:
     """The series with the most positive rows; the first by key on ties."""
     key = spec.series[0]

@@ -202,6 +202,36 @@ def agg_fault_coverage(spark, sf):
     return out.select("name", F.round("coverage", 6).alias("coverage"))
 
 
+@query(
+    "agg_sweep_record",
+    "AGG5 AGG11 SRC6",
+    f"""WITH {MODEL_SCORES_SQL}, {_SWEEP_SQL},
+    pos AS (SELECT row_id, row_number() OVER ({EV_W}) - 1 AS step FROM ev),
+    fl AS (SELECT ms.*, step, b.threshold, CASE WHEN ms.score >= b.threshold THEN 1 ELSE 0 END AS hit
+      FROM ms JOIN (SELECT * FROM best WHERE rk2 = 1) b USING (model) JOIN pos USING (row_id)),
+    mk AS (SELECT *, CASE WHEN label = 1 AND coalesce(lag(label) OVER (PARTITION BY model, element_id ORDER BY ts, row_id), 0) <> 1
+      THEN 1 ELSE 0 END AS st FROM fl),
+    sg AS (SELECT *, sum(st) OVER (PARTITION BY model, element_id ORDER BY ts, row_id ROWS UNBOUNDED PRECEDING) AS sid FROM mk),
+    aj AS (SELECT *, CASE WHEN label = 1 THEN max(hit) OVER (PARTITION BY model, element_id, label, sid) ELSE hit END AS pa FROM sg),
+    pc AS (SELECT model, max(threshold) AS threshold, CAST(sum(label * pa) AS DOUBLE) AS tp,
+      CAST(sum((1 - label) * pa) AS DOUBLE) AS fp, CAST(sum(label * (1 - pa)) AS DOUBLE) AS fn,
+      avg(hit) FILTER (step >= 0 AND step < 12) AS early, avg(hit) FILTER (step >= 20 AND step < 45) AS middle,
+      avg(hit) FILTER (step >= 50 AND step < 70) AS late FROM aj GROUP BY model),
+    par AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pp,
+      CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rr FROM pc)
+    SELECT model, threshold, round(pp, 6) AS pa_precision, round(rr, 6) AS pa_recall,
+      round(CASE WHEN pp + rr > 0 THEN 2 * pp * rr / (pp + rr) ELSE 0 END, 6) AS pa_f1,
+      round(early, 6) AS early, round(middle, 6) AS middle, round(late, 6) AS late FROM par""",
+)
+def agg_sweep_record(spark, sf):
+    faults = spark.createDataFrame(FAULTS, "name string, start long, end long")
+    steps = with_position(events(spark, sf), EVENTS, "pos").select("row_id", (F.col("pos") - 1).alias("step"))
+    df = model_scores(spark, sf).join(steps, "row_id")
+    out = ev.sweep_record(df, EVENTS, ["model"], faults, "step", digits=6)
+    cover = [F.round(F.try_element_at("per_fault", F.lit(n)), 6).alias(n) for n, _, _ in FAULTS]
+    return out.select("model", "threshold", *[F.round(c, 6).alias(c) for c in ("pa_precision", "pa_recall", "pa_f1")], *cover)
+
+
 @query(
     "agg_reference_series",
     "AGG12 WIN10 JOI2",
