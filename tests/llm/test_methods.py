@@ -92,6 +92,59 @@ def test_leaks_tolerate_substitutions(spark):
     assert kept == set(range(200)) - {d for d, _ in want}
 
 
+def test_leaks_are_those_of_the_definition():
+    """Every hit diagonal against all its stretches: short items, and long ones with an exact run inside."""
+    rng = random.Random(9)
+    rule = decontaminate.SeedRule()
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+
+    def changed(item, places):
+        return [word() if k in places else w for k, w in enumerate(item)]
+
+    cases = [([f"item{k}" for k in range(16)], {4, 8, 12}, True)]
+    for n in (*range(15, 21), 60, 200):
+        for rate in (0.1, 0.15, 0.2):
+            for _ in range(12):
+                item = [word() for _ in range(n)]
+                cases.append((item, {k for k in range(n) if rng.random() < rate}, None))
+    for _ in range(8):
+        item = [word() for _ in range(200)]  # the whole is 76 to 79 % equal, 14 words inside are exact
+        at = rng.randrange(20, 160)
+        loose = [k for k in range(200) if not at <= k < at + 14]
+        cases.append((item, set(rng.sample(loose, rng.randint(42, 48))), True))
+    found_short = 0
+    for item, places, sure in cases:
+        text = changed(item, places)
+        index = decontaminate.SeedIndex.of([7], [" ".join(item)], rule.masks)
+        found = decontaminate.find_leaks(pa.array([" ".join(["before", *text, "after"])]), index, rule)
+        equal = [k not in places for k in range(len(item))]
+        hit = any(
+            all(equal[k + j] for j, used in enumerate(mask) if used == "1")
+            for mask in rule.masks
+            for k in range(len(item) - rule.span + 1)
+        )
+        total = np.concatenate([[0], np.cumsum(equal)])
+        least = min(rule.least, -(-len(item) * 9 // 10))
+        stretches = [
+            (e - s, s, int(total[e] - total[s]))
+            for s in range(len(item))
+            for e in range(s + 1, len(item) + 1)
+            if equal[s] and equal[e - 1] and total[e] - total[s] >= least and 5 * (total[e] - total[s]) >= 4 * (e - s)
+        ]
+        any_will_do = any(
+            total[e] - total[s] >= least and 5 * (total[e] - total[s]) >= 4 * (e - s)
+            for s in range(len(item))
+            for e in range(s + 1, len(item) + 1)
+        )
+        assert bool(stretches) == any_will_do
+        assert bool(found) == bool(stretches and hit) and (found or not sure)
+        if found:
+            (_, _, start, n_words, n_equal), longest = found[0], max(stretches)[0]
+            assert n_words == longest and (n_words, start - 1, n_equal) in stretches
+            found_short += len(item) <= 20
+    assert found_short > 100
+
+
 def unigram(pieces, bytes_known):
     from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 

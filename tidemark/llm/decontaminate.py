@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ class SeedRule:
     """``masks``: the word positions of a window that are hashed (1) or ignored (0), each mask of the same span.
 
     A hit's diagonal is a leak if some stretch of it has ``least`` equal words, or nine tenths of a shorter item, and
-    ``share`` of its words equal. Items of fewer words than a mask spans are not searched: they are no passages.
+    ``share`` of its words equal; the longest one from an equal word to an equal word is told. Items of fewer words than a mask spans are not searched: they are no passages.
     ``block_bytes`` bounds the text of the items that are broadcast together.
     """
 
@@ -81,12 +82,22 @@ class SeedIndex:
         return SeedIndex(ids, words, begins, hashes[order], places[order], bits)
 
 
-def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch of largest sum, an equal word counting 1 and another -3: at least three in four are equal."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+def _longest_stretch(equal: np.ndarray, least: int, share: float) -> tuple[int, int] | None:
+    """The longest stretch from an equal word to an equal word that holds ``least`` of them and ``share`` of equal ones.
+
+    Unequal words at its ends only lower a stretch's share, so there is one if any stretch of the diagonal will do.
+    """
+    at = np.flatnonzero(equal)
+    if len(at) < max(1, least):
+        return None
+    # share as a fraction: from the i-th to the j-th equal word, up * (at[j] - at[i] + 1) <= down * (j - i + 1)
+    up, down = Fraction(str(share)).limit_denominator(10**6).as_integer_ratio()
+    excess = down * np.arange(len(at)) - up * at
+    # the first i with excess[i] <= excess[j] + down - up is a new minimum
+    first = np.searchsorted(-np.minimum.accumulate(excess), -(excess + down - up), "left")
+    length = np.where(np.arange(len(at)) - first + 1 >= least, at - at[first] + 1, 0)
+    j = int(np.argmax(length))
+    return (int(at[first[j]]), int(at[j]) + 1) if length[j] else None
 
 
 def find_leaks(column: pa.Array, index: SeedIndex, rule: SeedRule) -> list[tuple[int, int, int, int, int]]:
@@ -108,10 +119,10 @@ def find_leaks(column: pa.Array, index: SeedIndex, rule: SeedRule) -> list[tuple
         a, b = index.begins[i], index.begins[i + 1]
         lo, hi = max(a, begins[r] - d), min(b, begins[r + 1] - d)
         equal = words[lo + d : hi + d] == index.words[lo:hi]
-        s, e = _best_stretch(equal)
-        same = int(equal[s:e].sum())
-        if same >= min(rule.least, -(-(b - a) * 9 // 10)) and same >= rule.share * (e - s):
-            out.append((int(r), int(i), int(lo + d + s - begins[r]), e - s, same))
+        stretch = _longest_stretch(equal, min(rule.least, -(-(b - a) * 9 // 10)), rule.share)
+        if stretch:
+            s, e = stretch
+            out.append((int(r), int(i), int(lo + d + s - begins[r]), e - s, int(equal[s:e].sum())))
     return out
 
 
