@@ -1,5 +1,7 @@
 """Queries against their SQL twins, and every operator on odd tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,3 +165,37 @@ def test_odd_chats(spark):
     ]
     assert [(r.valid, r.bad_turn) for r in rows] == [(True, None), (False, 2), (False, 0), (False, 0), (False, 1), (False, 1)]
     assert chat.format_chats(turns.limit(0)).collect() == []
+
+
+def test_templated_host(spark):
+    """Pages that share only a block are depleted documents; copies, near ones included, do not deplete themselves."""
+    rng = random.Random(3)
+    word = lambda low, high: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high)))
+    # short words end it, so that the window of every long word lies inside
+    block = "\n".join(" ".join(word(4, 14 if k < 9 else 6) for _ in range(10)) for k in range(10))
+    number = lambda k: " ".join(str(rng.randrange(10**6)) for _ in range(k))
+    short = lambda k: " ".join(word(3, 6) for _ in range(k))
+    rows = [(i, f"{block}\n{number(150)}", "numbers") for i in range(60)]
+    rows += [(i, f"{short(15)}\n{block}\n{number(30)}", "short") for i in range(100, 160)]
+    base = [[word(4, 14) for _ in range(10)] for _ in range(20)]
+    for i in range(200, 260):
+        lines = [list(w) for w in base]
+        if i % 2:
+            lines[i % 20][i % 10] = word(4, 14)
+        rows.append((i, "\n".join(map(" ".join, lines)), "copies"))
+    # near copies of one page among pages that share its block
+    rows += [(i, f"{block}\n{number(150)}", "both") for i in range(300, 330)]
+    page = [word(4, 9) for _ in range(300)]
+    for i in range(400, 425):
+        own = list(page)
+        own[i % 300] = word(4, 9)
+        text = "\n".join(" ".join(own[k : k + 10]) for k in range(0, 300, 10))
+        rows.append((i, f"{block}\n{text}", "both"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert [i for i in found if i < 200 and found[i].kept] == []
+    assert [i for i in found if 200 <= i < 300 and (not found[i].kept or found[i].removed_chars)] == []
+    assert [i for i in found if 300 <= i < 400 and found[i].kept] == []
+    assert [i for i in found if 400 <= i and not found[i].kept] == []
+    left = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert left[200] == rows[120][1] and all(block.split("\n")[0] not in left[i] for i in range(400, 425))

@@ -11,6 +11,9 @@ from tidemark.llm.common import cut, lines_of, packed, salt, salted, unpacked, w
 
 WINDOW = 8
 LONG_WORD = 10
+# Texts of one signature are copies from this percentage of equal word pairs on, told from the least hashes of each.
+SKETCH = 128
+COPY_PERCENT = 80
 
 
 @dataclass(frozen=True)
@@ -92,6 +95,9 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         signature.alias("signature"),
+        F.slice(F.array_sort(F.array_distinct(F.transform("h2", lambda h: F.shiftright(h, 32).cast("int")))), 1, SKETCH).alias(
+            "sketch"
+        ),
         F.filter(
             F.transform(
                 F.split(_normal(F.col("body")), "\n"),
@@ -102,11 +108,55 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     )
 
 
-def _frequent(lines: DataFrame, rules: QualityRules) -> DataFrame:
-    """(host, h) of lines above both limits. Documents that share their least window, in the order of digests,
-    are one text, counted once: copies of a document, near ones included, do not make its lines boilerplate."""
-    per_line = lines.groupBy("host", "h").agg(F.countDistinct("signature").alias("docs"))
-    per_host = lines.groupBy("host").agg(F.countDistinct("signature").alias("of"))
+def _beside_leader(texts: DataFrame) -> DataFrame:
+    """The texts of groups with two different ones or more, each beside ``lead``, the sketch of its group's leader."""
+    groups = texts.groupBy("host", "group").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    groups = salted(groups.filter("least < most").drop("most"))
+    d = texts.withColumn("salt", salt("key", "id"))
+    leaders = (
+        d.join(groups, ["host", "group", "salt"])
+        .filter("key = least")
+        .groupBy("host", "group")
+        .agg(F.first("sketch").alias("lead"))
+    )
+    return d.join(salted(leaders), ["host", "group", "salt"])
+
+
+def _apart(beside: DataFrame) -> DataFrame:
+    """The texts that are no copies of their leader."""
+    both = F.slice(F.array_sort(F.array_union("sketch", "lead")), 1, SKETCH)
+    equal = F.size(F.array_intersect(F.array_intersect(both, "sketch"), "lead"))
+    return beside.filter(equal * 100 < F.size(both) * COPY_PERCENT)
+
+
+def _counted(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``text``, equal for what the line counts take for one text.
+
+    Texts of one signature are one if they are copies of the group's leader. The others, which share no more than a
+    block with it, are grouped again by their least pair that the leader lacks, and those that are no copies of that
+    group's leader either stand for themselves.
+    """
+    texts = measured.select("id", "key", "host", F.col("signature").alias("group"), "sketch")
+    own = F.array_min(F.array_except("sketch", "lead"))
+    group = F.concat_ws(":", "group", own)
+    first = cut(_apart(_beside_leader(texts)).select("id", "key", "host", group.alias("group"), "sketch"))
+    alone = _apart(_beside_leader(first)).select("host", "key", F.concat_ws(":", "group", "key").alias("alone")).distinct()
+    apart = first.select("host", "key", "group").distinct().join(alone, ["host", "key"], "left")
+    apart = apart.select("host", "key", F.coalesce("alone", "group").alias("text"))
+    return (
+        measured.select("id", "key", "host", "signature", "lines", salt("id", "key").alias("salt"))
+        .join(salted(apart), ["host", "key", "salt"], "left")
+        .select("host", "lines", F.coalesce("text", "signature").alias("text"))
+    )
+
+
+def _frequent(measured: DataFrame, rules: QualityRules) -> DataFrame:
+    """(host, h) of lines above both limits. Copies of a document, near ones included, are one text, counted once: they
+    do not make its lines boilerplate. Documents that share only some lines are counted each."""
+    texts = _counted(measured).filter(F.size("lines") > 0)
+    per_line = texts.select("host", "text", F.explode("lines.h").alias("h")).groupBy("host", "h")
+    per_line = per_line.agg(F.countDistinct("text").alias("docs"))
+    per_host = texts.groupBy("host").agg(F.countDistinct("text").alias("of"))
     return (
         per_line.filter(F.col("docs") >= rules.line_docs)
         .join(per_host, "host")
@@ -118,10 +168,10 @@ def _frequent(lines: DataFrame, rules: QualityRules) -> DataFrame:
 def _judged(docs: DataFrame, rules: QualityRules, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row per input row, without its text: measures, ``frequent`` (hashes of its frequent lines) and verdicts."""
     measured = cut(_measured(docs, id_col, text_col, host_col))
-    lines = measured.select("id", "key", "host", "signature", F.explode("lines.h").alias("h"))
+    lines = measured.select("id", "key", "host", F.explode("lines.h").alias("h"))
     hit = (
         lines.withColumn("salt", salt("id", "key"))
-        .join(salted(_frequent(lines, rules)), ["host", "h", "salt"], "left_semi")
+        .join(salted(_frequent(measured, rules)), ["host", "h", "salt"], "left_semi")
         .groupBy("id", "key", "host")
         .agg(F.collect_set("h").alias("frequent"))
         .withColumnsRenamed({"id": "id_", "key": "key_", "host": "host_"})
