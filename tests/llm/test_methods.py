@@ -188,6 +188,23 @@ def test_token_ids(texts):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_takes_the_tokenizer_as_it_is(spark):
+    """Added tokens, and letters and numbers that are newer than Python's tables."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    rng = random.Random(6)
+    end = "<|endoftext|>"
+    texts = [f"stop {end} go", f"{end}{end}", f"a  {end}  's", "<|endof", "text|>", f"<{end}>", "", None]
+    signs = [end, "a", "'s", " ", "  ", "'", "1", "\n", "!", "\U0001c89a", "\ua7da", "\U000105c0", "\U00010d40", "\u0378"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs, BPE).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), repr(t)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=16, max_size=16))
 def test_columns_hold_the_demand(demand):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -102,18 +103,19 @@ def generate_columns(demand: np.ndarray, rounds: int = 20_000) -> list[tuple[np.
     return result
 
 
-_memos: dict[str, Memo] = {}
+_memos: dict[tuple[str, bool], Memo] = {}
+_added: dict[str, re.Pattern | None] = {}
 
 
-def _memo(path: str) -> Memo:
-    if path not in _memos:
+def _memo(path: str, added: bool) -> Memo:
+    if (path, added) not in _memos:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added
 
         def work(words: list[bytes]) -> list[list[int]]:
             texts = [w.decode() for w in words]
@@ -123,15 +125,42 @@ def _memo(path: str) -> Memo:
                 for e in tokenizer.encode_batch_fast(texts[i : i + 5_000], add_special_tokens=False)
             ]
 
-        _memos[path] = Memo(work, np.uint32)
-    return _memos[path]
+        _memos[path, added] = Memo(work, np.uint32)
+    return _memos[path, added]
 
 
-def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and where each text's begin; a byte-level tokenizer works on each pre-token by itself."""
-    memo = _memo(path)
+def _added_places(data: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
+    """Start and end of every added token of the file in the texts, the longest one where several begin."""
+    if path not in _added:
+        from tokenizers import Tokenizer
+
+        tokens = Tokenizer.from_file(path).get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        names = sorted((t.content.encode() for t in tokens), key=lambda n: (-len(n), n))
+        _added[path] = re.compile(b"|".join(map(re.escape, names))) if names else None
+    pattern, raw = _added[path], data.tobytes()
+    if pattern is None or not pattern.search(raw):
+        return np.zeros((0, 2), np.int64)
+    rows = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+    return np.array([m.span() for a, b in rows for m in pattern.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+
+
+def token_ids(column: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts and where each text's begin; a byte-level tokenizer works on each pre-token by itself.
+
+    With ``added``, the file's added tokens in a text have their own ids, as in the tokenizer's default; without, they
+    are text as any other.
+    """
+    memo = _memo(path, added)
     data, offsets = utf8(column)
-    starts = pretoken_starts(data, offsets)
+    spans = _added_places(data, offsets, path) if added else np.zeros((0, 2), np.int64)
+    if len(spans):
+        starts = pretoken_starts(data, np.union1d(offsets, spans))
+        at = np.searchsorted(spans[:, 0], starts, "left") - 1
+        starts = starts[(at < 0) | (starts >= spans[at, 1])]
+    else:
+        starts = pretoken_starts(data, offsets)
     ends = np.concatenate([starts[1:], offsets[-1:]])
     numbers = memo.look(data, starts, ends, span_hashes(data, starts, ends))
     total = np.concatenate([[0], np.cumsum(memo.sizes(numbers))])
@@ -144,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, rule: PackRule, id_col: str, text_co
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "body"):
-            ids, begins = token_ids(batch["body"], tokenizer)
+            ids, begins = token_ids(batch["body"], tokenizer, added=True)
             rows, cuts = [], []
             for r in range(batch.num_rows):
                 own = np.append(ids[begins[r] : begins[r + 1]], rule.end).astype("<u4")

@@ -6,7 +6,7 @@ import unicodedata
 
 import numpy as np
 
-OTHER, LETTER, NUMBER, SPACE = range(4)
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 # Code points that count as white space, and the endings that an apostrophe is joined with.
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SHORT = ("s", "t", "m", "d")
@@ -16,10 +16,11 @@ _classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point; unknown are those that Python's tables do not have and a tokenizer's may."""
     if not _classes:
-        by = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        by = {"L": LETTER, "N": NUMBER} | {"Cn": UNKNOWN}
+        names = (unicodedata.category(chr(c)) for c in range(0x110000))
+        table = np.fromiter((by.get(n, by.get(n[0], OTHER)) for n in names), np.uint8, 0x110000)
         table[_SPACES] = SPACE
         _classes.append(table)
     return _classes[0]
@@ -66,4 +67,10 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             begin[mark[found] + 1] = False
             behind = mark[found] + 1 + length
             begin[behind[behind < n]] = True
+    if (kind == UNKNOWN).any():
+        # from white space to white space, what holds one is left in one piece, with the white space before it
+        solid = kind != SPACE
+        edge = row | np.concatenate([[True], solid[:-1] & ~solid[1:]])
+        run = np.cumsum(edge) - 1
+        begin &= edge | ~np.isin(run, run[kind == UNKNOWN])
     return at[begin]
