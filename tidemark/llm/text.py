@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +76,22 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Longer spans are hashed by a digest: sums of powers modulo 2^64 have known collisions from some hundred bytes on.
+LONG_SPAN = 64
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, the same for equal bytes anywhere."""
     power, inverse = _power(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * power[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _ODD[63])
+    out = mix(h + (ends - starts).astype(np.uint64) * _ODD[63])
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    if len(long):
+        digests = b"".join(blake2b(data[s:e].tobytes(), digest_size=8).digest() for s, e in zip(starts[long], ends[long]))
+        out[long] = np.frombuffer(digests, np.uint64)
+    return out
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +104,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[
     left = ends[rows] - np.arange(len(words))
     for j in range(k):
         term = np.zeros(len(words), np.uint64)
-        term[: len(words) - j] = words[j:] * _ODD[j]
+        term[: max(len(words) - j, 0)] = words[j:] * _ODD[j]
         h += np.where(left > j, term, np.uint64(0))
     short = (counts[rows] < k) & (left == counts[rows])
     chosen = (left >= k) | short
