@@ -116,13 +116,22 @@ def _read(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str, rest:
 
 
 def _class_rows(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, class): per row the set's size, and two numbers that equal sets have in common (null if empty)."""
+    """(id, key, n, class): per row the text's hash, the set's size, and two numbers that equal sets have in common (null if empty)."""
 
-    def make(ids: pa.Array, h: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        n = np.diff(starts)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), _binary(_nodes(h, starts), n == 0)], names=["id", "n", "class"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "body"):
+            h, starts = _sets(batch, "body", rule.words)
+            n = np.diff(starts)
+            columns = [batch["id"], batch["key"], pa.array(n), _binary(_nodes(h, starts), n == 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "class"])
 
-    return _read(docs, rule, id_col, text_col, "n long, class binary", make)
+    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body")).withColumn("key", _key(F.col("body")))
+    kind = d.schema["id"].dataType.simpleString()
+    return d.mapInArrow(read, f"id {kind}, key long, n long, class binary")
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _bit(node: Column) -> Column:
@@ -271,16 +280,8 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     return stars.union(_linked(rest, sets, rule))
 
 
-def jaccard_join(
-    docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: id, ``n_shingles`` and ``component_id``, the least id that links reach.
-
-    Words are lower-cased in A-Z and end at white space; a text of fewer words than a shingle has one shingle, and a
-    null or wordless text has none, links with nothing and is its own component. Repeated rows and other equal texts
-    share a class. A row without an id is linked like others; a component without any id has a null one. Texts are read
-    whole; a text must fit a task. Other columns are not read. An empty table gives an empty result.
-    """
+def _components(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, key, n, class), the classes (class, rep, n, node), and the linked ones (node, root)."""
     rows = cut(_class_rows(docs, rule, id_col, text_col))
     classes = cut(
         rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
@@ -301,7 +302,20 @@ def jaccard_join(
     sets = stored(_wanted_sets(docs, wanted, rule, id_col, text_col))
     costly = sets.join(nodes.filter("costly").select("node"), "node", "left_semi")
     links = _linked(pairs, sets, rule).union(_costly_links(costly, rule))
-    roots = components(links)
+    return rows, classes, components(links)
+
+
+def jaccard_join(
+    docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: id, ``n_shingles`` and ``component_id``, the least id that links reach.
+
+    Words are lower-cased in A-Z and end at white space; a text of fewer words than a shingle has one shingle, and a
+    null or wordless text has none, links with nothing and is its own component. Repeated rows and other equal texts
+    share a class. A row without an id is linked like others; a component without any id has a null one. Texts are read
+    whole; a text must fit a task. Other columns are not read. An empty table gives an empty result.
+    """
+    rows, classes, roots = _components(docs, rule, id_col, text_col)
     least = roots.join(classes, "node").groupBy("root").agg(F.min("rep").alias("least"))
     tied = roots.join(least, "root").select("node", "least")
     ids = classes.join(tied, "node", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
@@ -316,12 +330,21 @@ def jaccard_join(
 def one_of_each(
     docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows whose id is that of their component, with all columns; of rows that share an id one stays.
+    """Of every group of linked rows the one of least id, with all its columns; all other rows stay.
 
-    Rows without an id stay: no result can name them.
+    Groups are of rows, whatever their ids: rows that share an id and not their text stay or go each by its own text. Of
+    repeated rows one stays, and so does the first in order of the text's hash of rows that share the least id. Wordless
+    texts are in no group. Rows without an id stay: no result can name them.
     """
-    kept = jaccard_join(docs, rule, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
-    kept = kept.select(F.col(id_col).alias("id")).distinct()
-    d = docs.select(docs[id_col].alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    known = d.filter("id is not null").join(kept, "id", "left_semi").dropDuplicates(["id"])
-    return known.union(d.filter("id is null")).select("row.*")
+    rows, classes, roots = _components(docs, rule, id_col, text_col)
+    # of a group, the class of least id; of that class, the text of least hash
+    least = roots.join(classes, "node").filter("rep is not null").groupBy("root")
+    least = least.agg(F.min(F.struct("rep", "class"))["class"].alias("least"))
+    gone = roots.join(classes, "node").join(least, "root").filter("class <> least").select("class")
+    known = rows.filter("id is not null")
+    solid = known.filter("class is not null").join(gone, "class", "left_anti")
+    kept = solid.groupBy("class").agg(F.min(F.struct("id", "key")).alias("first")).select("first.id", "first.key")
+    kept = kept.union(known.filter("class is null").select("id", "key").distinct())
+    d = docs.select(docs[id_col].alias("id"), _key(docs[text_col]).alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    stay = d.filter("id is not null").join(kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return stay.union(d.filter("id is null")).select("row.*")
