@@ -8,9 +8,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
 from tidemark.llm.text import LOWER, mix, parts, span_hashes, utf8, word_places
 
 _WORDS_ONLY = LOWER.copy()
@@ -22,13 +24,15 @@ class SeedRule:
     """``masks``: the word positions of a window that are hashed (1) or ignored (0), each mask of the same span.
 
     A hit's diagonal is a leak if some stretch of it has ``least`` equal words, or nine tenths of a shorter item, and
-    ``share`` of its words equal; the longest one from an equal word to an equal word is told. Items of fewer words than a mask spans are not searched: they are no passages.
-    ``block_bytes`` bounds the text of the items that are broadcast together.
+    ``share`` of its words equal; the longest one from an equal word to an equal word is told. Items of fewer words than
+    a mask spans are found where all their words follow each other, from ``shortest`` words on; a shorter item is no
+    passage, and is in none. ``block_bytes`` bounds the text of the items that are broadcast together.
     """
 
     masks: tuple[str, ...] = ("11010011", "11100101", "10111001", "10011101")
     least: int = 12
     share: float = 0.8
+    shortest: int = 4
     block_bytes: int = 8 << 20
 
     @property
@@ -59,9 +63,20 @@ def _seeds(words: np.ndarray, begins: np.ndarray, masks: tuple[str, ...]) -> Ite
         yield mix(h), places
 
 
+def _runs(words: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``length`` words inside a row, and the places where they begin."""
+    left = np.repeat(begins[1:], np.diff(begins)) - np.arange(len(words))
+    places = np.flatnonzero(left >= length)
+    h = np.full(len(places), length, np.uint64)
+    for j in range(length):
+        h = mix(h ^ words[places + j])
+    return h, places
+
+
 @dataclass
 class SeedIndex:
-    """The items of a block: their words, and all seeds in the order of their hashes."""
+    """The items of a block: their words, all seeds in the order of their hashes, and for each length below the masks'
+    span the whole items of that length, by hash."""
 
     ids: list
     words: np.ndarray
@@ -69,17 +84,25 @@ class SeedIndex:
     hashes: np.ndarray
     places: np.ndarray
     bits: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(ids: list, texts: list[str | None], masks: tuple[str, ...]) -> SeedIndex:
+    def of(ids: list, texts: list[str | None], masks: tuple[str, ...], shortest: int = 4) -> SeedIndex:
         words, begins = _words(pa.array(texts, pa.large_string()))
         found = list(_seeds(words, begins, masks))
+        short = {}
+        for length in range(shortest, len(masks[0])):
+            which = np.flatnonzero(np.diff(begins) == length)
+            if len(which):
+                h, places = _runs(words, begins, length)
+                h = h[np.searchsorted(places, begins[which])]
+                short[length] = (np.sort(h), which[np.argsort(h, kind="stable")])
         hashes = np.concatenate([h for h, _ in found])
         places = np.concatenate([p for _, p in found])
         order = np.argsort(hashes, kind="stable")
         bits = np.zeros(1 << 22, bool)
         bits[(hashes >> np.uint64(42)).astype(np.int64)] = True
-        return SeedIndex(ids, words, begins, hashes[order], places[order], bits)
+        return SeedIndex(ids, words, begins, hashes[order], places[order], bits, short)
 
 
 def _longest_stretch(equal: np.ndarray, least: int, share: float) -> tuple[int, int] | None:
@@ -123,18 +146,31 @@ def find_leaks(column: pa.Array, index: SeedIndex, rule: SeedRule) -> list[tuple
         if stretch:
             s, e = stretch
             out.append((int(r), int(i), int(lo + d + s - begins[r]), e - s, int(equal[s:e].sum())))
+    for length, (known, which) in index.short.items():
+        h, places = _runs(words, begins, length)
+        first = np.searchsorted(known, h, "left")
+        n = np.searchsorted(known, h, "right") - first
+        for k in np.flatnonzero(n):
+            r = int(np.searchsorted(begins, places[k], "right")) - 1
+            out += [(r, int(i), int(places[k] - begins[r]), length, length) for i in which[first[k] : first[k] + n[k]]]
     return out
 
 
-def _blocks(benchmark: DataFrame, rule: SeedRule, id_col: str, text_col: str) -> Iterator[SeedIndex]:
-    """The items in blocks of about ``block_bytes``, one at a time; as many passes over the texts as blocks."""
+def _blocks(benchmark: DataFrame, rule: SeedRule, id_col: str, text_col: str) -> Iterator[tuple[bool, SeedIndex]]:
+    """The items in blocks of about ``block_bytes``, one at a time, and whether a block is the last."""
     items = benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].alias("body"))
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = -(-size // rule.block_bytes)
     block = F.pmod(F.xxhash64("id", "body"), F.lit(max(1, n)))
     for k in range(n):
         rows = items.filter((block == k) & F.col("body").isNotNull()).collect()
-        yield SeedIndex.of([r.id for r in rows], [r.body for r in rows], rule.masks)
+        yield k + 1 == n, SeedIndex.of([r.id for r in rows], [r.body for r in rows], rule.masks, rule.shortest)
+
+
+def _written(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    out = stored(rows)
+    shared.destroy()
+    return out
 
 
 def leaks(
@@ -150,12 +186,13 @@ def leaks(
 
     Words are letters and digits in lower case (A-Z). Clean, null and empty texts give no row; neither do null items.
     An item that occurs at several places gives a row for each; repeated rows repeat theirs. Texts are read whole.
+    The texts are read once for each block of items; a block's leaks are written before the next block is read.
     """
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
     kind, item_kind = d.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, start_word long, n_words long, n_equal long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in _blocks(benchmark, rule, item_col, item_text_col):
+    for last, index in _blocks(benchmark, rule, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -167,7 +204,8 @@ def leaks(
                 if found:
                     yield pa.RecordBatch.from_arrays([ids, items, *rest], names=["id", "item", "start_word", "n_words", "n_equal"])
 
-        out = out.union(d.mapInArrow(read, schema))
+        found = d.mapInArrow(read, schema)
+        out = out.union(found if last else _written(found, shared))
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
@@ -179,8 +217,12 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows without a leak, with all their columns; no row is moved between executors."""
-    for index in _blocks(benchmark, rule, item_col, item_text_col):
+    """The rows without a leak, with all their columns; no row is moved between executors.
+
+    What the items of one block leave is written before the next block is read. Null and empty texts stay, repeated rows
+    stay or go together, and an empty benchmark leaves all.
+    """
+    for last, index in _blocks(benchmark, rule, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -189,5 +231,6 @@ def decontaminate(
                 keep[[f[0] for f in find_leaks(batch[text_col], shared.value, rule)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        left = docs.mapInArrow(clean, docs.schema)
+        docs = left if last else _written(left, shared)
     return docs
