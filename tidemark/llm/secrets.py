@@ -74,6 +74,38 @@ def most(window: int, bits: float) -> int:
     return math.floor((math.log2(window) - bits) * window * SCALE)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _running(values: Column) -> Column:
+    """The sum of all earlier values at each place, by the totals of blocks of about the root of their number."""
+
+    def within(v: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        blocks = F.transform(
+            F.sequence(F.lit(0), wide - 1), lambda b: _total(F.slice(v, b * wide + 1, wide))
+        )
+        return _let(
+            F.struct(wide.alias("wide"), blocks.alias("blocks")),
+            lambda k: _let(
+                F.transform(k["blocks"], lambda x, b: _total(F.slice(k["blocks"], F.lit(1), b))),
+                lambda before: F.transform(
+                    v,
+                    lambda x, i: F.get(before, F.floor(i / k["wide"]).cast("int"))
+                    + _total(F.slice(v, i - i % k["wide"] + 1, i % k["wide"])),
+                ),
+            ),
+        )
+
+    return F.when(F.size(values) > 0, _let(values, within)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Array of (start, stop, kind, string), leftmost and without overlap, in code points from 0.
 
@@ -82,23 +114,19 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,stop:int,string:string>>")
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + F.length(x["gap"])).alias("start"),
-                        (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("stop"),
-                        x["hit"].alias("string"),
-                    )
-                ),
-            ).alias("out"),
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
+    walk = _let(
+        pairs,
+        lambda p: F.zip_with(
+            p,
+            _running(sizes(p)),
+            lambda x, at: F.struct(
+                (at + F.length(x["gap"])).alias("start"),
+                (at + F.length(x["gap"]) + F.length(x["hit"])).alias("stop"),
+                x["hit"].alias("string"),
+            ),
         ),
-        lambda a: a["out"],
     )
     walk = walk if keep is None else F.filter(walk, keep)
     return F.when(text.rlike(pattern), walk).otherwise(empty)
