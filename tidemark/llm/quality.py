@@ -10,20 +10,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, lines_of, packed, salt, salted, unpacked, words_of
 
 WINDOW = 8
-LONG_WORD = 10
-# Texts of one signature are copies from this percentage of equal word pairs on, told from the least hashes of each.
-SKETCH = 128
-COPY_PERCENT = 80
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits. A line is frequent on a host with ``line_docs`` documents or more, if they are ``line_share`` of the host's."""
+    """Limits. A line is frequent on a host with ``line_docs`` different texts or more, however large the host is."""
 
     min_words: int = 20
     repeat_percent: int = 30
     line_docs: int = 20
-    line_share: float = 0.002
     left_share: float = 0.3
 
 
@@ -46,20 +41,6 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     for k in (1, 2, 4):
         d = d.withColumn(f"h{2 * k}", _paired(f"h{k}", k))
     d = d.withColumn("windows", F.when(F.size("words") >= WINDOW, F.slice("h8", 1, F.size("words") - (WINDOW - 1))))
-    # the window that begins with the long word of least digest stands for the text
-    heads = F.filter(
-        F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-        lambda i: F.length(F.get(F.col("words"), i - 1)) >= LONG_WORD,
-    )
-    d = d.withColumn("heads", F.when(F.size("words") >= WINDOW, heads)).withColumn(
-        "least",
-        F.array_min(
-            F.transform("heads", lambda i: F.struct(F.md5(F.get(F.col("words"), i - 1)).alias("digest"), i.alias("i")))
-        ),
-    )
-    signature = F.when(
-        F.size("heads") > 0, F.md5(F.array_join(F.slice("words", F.col("least.i"), F.lit(WINDOW)), " "))
-    ).otherwise(F.md5("body"))
     # only texts with a window found twice are sorted; neighbours in that order show which ones
     d = d.withColumn(
         "sorted",
@@ -94,10 +75,6 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         .alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-        signature.alias("signature"),
-        F.slice(F.array_sort(F.array_distinct(F.transform("h2", lambda h: F.shiftright(h, 32).cast("int")))), 1, SKETCH).alias(
-            "sketch"
-        ),
         F.filter(
             F.transform(
                 F.split(_normal(F.col("body")), "\n"),
@@ -108,61 +85,10 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     )
 
 
-def _beside_leader(texts: DataFrame) -> DataFrame:
-    """The texts of groups with two different ones or more, each beside ``lead``, the sketch of its group's leader."""
-    groups = texts.groupBy("host", "group").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    groups = salted(groups.filter("least < most").drop("most"))
-    d = texts.withColumn("salt", salt("key", "id"))
-    leaders = (
-        d.join(groups, ["host", "group", "salt"])
-        .filter("key = least")
-        .groupBy("host", "group")
-        .agg(F.first("sketch").alias("lead"))
-    )
-    return d.join(salted(leaders), ["host", "group", "salt"])
-
-
-def _apart(beside: DataFrame) -> DataFrame:
-    """The texts that are no copies of their leader."""
-    both = F.slice(F.array_sort(F.array_union("sketch", "lead")), 1, SKETCH)
-    equal = F.size(F.array_intersect(F.array_intersect(both, "sketch"), "lead"))
-    return beside.filter(equal * 100 < F.size(both) * COPY_PERCENT)
-
-
-def _counted(measured: DataFrame) -> DataFrame:
-    """``measured`` with ``text``, equal for what the line counts take for one text.
-
-    Texts of one signature are one if they are copies of the group's leader. The others, which share no more than a
-    block with it, are grouped again by their least pair that the leader lacks, and those that are no copies of that
-    group's leader either stand for themselves.
-    """
-    texts = measured.select("id", "key", "host", F.col("signature").alias("group"), "sketch")
-    own = F.array_min(F.array_except("sketch", "lead"))
-    group = F.concat_ws(":", "group", own)
-    first = cut(_apart(_beside_leader(texts)).select("id", "key", "host", group.alias("group"), "sketch"))
-    alone = _apart(_beside_leader(first)).select("host", "key", F.concat_ws(":", "group", "key").alias("alone")).distinct()
-    apart = first.select("host", "key", "group").distinct().join(alone, ["host", "key"], "left")
-    apart = apart.select("host", "key", F.coalesce("alone", "group").alias("text"))
-    return (
-        measured.select("id", "key", "host", "signature", "lines", salt("id", "key").alias("salt"))
-        .join(salted(apart), ["host", "key", "salt"], "left")
-        .select("host", "lines", F.coalesce("text", "signature").alias("text"))
-    )
-
-
 def _frequent(measured: DataFrame, rules: QualityRules) -> DataFrame:
-    """(host, h) of lines above both limits. Copies of a document, near ones included, are one text, counted once: they
-    do not make its lines boilerplate. Documents that share only some lines are counted each."""
-    texts = _counted(measured).filter(F.size("lines") > 0)
-    per_line = texts.select("host", "text", F.explode("lines.h").alias("h")).groupBy("host", "h")
-    per_line = per_line.agg(F.countDistinct("text").alias("docs"))
-    per_host = texts.groupBy("host").agg(F.countDistinct("text").alias("of"))
-    return (
-        per_line.filter(F.col("docs") >= rules.line_docs)
-        .join(per_host, "host")
-        .filter(F.col("docs") >= F.col("of") * rules.line_share)
-        .select("host", "h")
-    )
+    """(host, h) of lines in ``line_docs`` different texts of the host or more; equal texts are one."""
+    per_text = measured.select("host", "key", F.explode("lines.h").alias("h")).distinct()
+    return per_text.groupBy("host", "h").count().filter(F.col("count") >= rules.line_docs).select("host", "h")
 
 
 def _judged(docs: DataFrame, rules: QualityRules, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -204,7 +130,8 @@ def judge(
 ) -> DataFrame:
     """Measures and verdict of every row, null texts read as empty and a null host as a host of its own.
 
-    An empty text has no words and fails. Repeated rows each give a row and count as one document in the line counts.
+    An empty text has no words and fails. Repeated rows each give a row; rows of equal texts count as one document in
+    the line counts, so that exact copies do not make their own lines frequent.
     Very long texts are measured whole. Other columns are neither read nor returned.
     """
     return _judged(docs, rules, id_col, text_col, host_col).select(

@@ -69,29 +69,18 @@ covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n
   FROM at8 JOIN twice USING (doc_id, win), (SELECT unnest(range(8)) AS k) GROUP BY doc_id
 ),
-sign AS (
-  SELECT doc_id, arg_min(md5(win), (md5(word), i)) AS signature
-  FROM at8 WHERE length(word) >= {quality.LONG_WORD} GROUP BY doc_id
-),
 line AS (
   SELECT doc_id, host, h, length(h) AS chars
   FROM (
     SELECT doc_id, host, trim(unnest(string_split(lower(regexp_replace(text, '[^\p{{L}}\n]+', ' ', 'g')), chr(10)))) AS h FROM d
   ) WHERE h <> ''
 ),
-signed AS (
-  SELECT d.doc_id, host, coalesce(signature, md5(text)) AS signature FROM d LEFT JOIN sign USING (doc_id)
-),
 per_line AS (
-  SELECT l.host, h, count(DISTINCT signature) AS docs FROM line l JOIN signed USING (doc_id) GROUP BY ALL
-),
-per_host AS (
-  SELECT l.host, count(DISTINCT signature) AS n FROM line l JOIN signed USING (doc_id) GROUP BY ALL
+  SELECT l.host, h, count(DISTINCT text) AS docs FROM line l JOIN d USING (doc_id) GROUP BY ALL
 ),
 gone AS (
   SELECT doc_id, sum(chars) AS chars
-  FROM line JOIN per_line p USING (host, h) JOIN per_host USING (host)
-  WHERE docs >= {_RULES.line_docs} AND docs >= n * {_RULES.line_share} GROUP BY doc_id
+  FROM line JOIN per_line p USING (host, h) WHERE docs >= {_RULES.line_docs} GROUP BY doc_id
 ),
 m AS (
   SELECT doc_id, len(words) AS n_words,
@@ -179,12 +168,13 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _like(rule: urlfilter.Rule) -> str:
-    return rule.glob.replace("*", "%").replace(urlfilter.SEAM, "' || chr(1) || '")
+    host, path = (part.replace("*", "%") for part in rule.glob.split(urlfilter.SEAM))
+    return f"'.' || host LIKE '{host}' AND path LIKE '{path}'"
 
 
 _BASE = sorted(urlfilter.BASE, key=lambda r: -len(r.name))
-_CASES = "".join(f" WHEN c LIKE '{_like(r)}' THEN '{r.name}'" for r in _BASE)
-_VERDICTS = "".join(f" WHEN c LIKE '{_like(r)}' THEN '{r.verdict}'" for r in [*_BASE, *urlfilter.METHOD])
+_CASES = "".join(f" WHEN {_like(r)} THEN '{r.name}'" for r in _BASE)
+_VERDICTS = "".join(f" WHEN {_like(r)} THEN '{r.verdict}'" for r in [*_BASE, *urlfilter.METHOD])
 
 
 @query(
@@ -194,9 +184,8 @@ r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url,
 h AS (
   SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r
-),
-c AS (SELECT *, '.' || host || chr(1) || path AS c FROM h)
-SELECT page_id, host, path, CASE{_CASES} END AS rule, CASE{_VERDICTS} ELSE 'allow' END AS verdict FROM c
+)
+SELECT page_id, host, path, CASE{_CASES} END AS rule, CASE{_VERDICTS} ELSE 'allow' END AS verdict FROM h
 """
 )
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +293,7 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     network = langid.fit_languages(docs.filter(~held_out))
     found = langid.predict_languages(docs, network)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

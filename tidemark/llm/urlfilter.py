@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: stands between host and path of a canonical URL, and occurs in neither.
-SEAM = "\x01"
+# Fixed value: stands between host and path of a canonical URL. Its byte, 0xFF, is in no text.
+SEAM = "\udcff"
 WORD = 64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``glob`` over the canonical URL ``.host SEAM path``: ``*`` is any string, ``?`` any one character (byte)."""
+    """``glob`` over the canonical URL ``.host SEAM path``: ``*`` is any string, ``?`` any one character."""
 
     name: str
     verdict: str
@@ -50,6 +50,10 @@ METHOD = (
 )
 
 
+def _bytes(canonical: str) -> bytes:
+    return canonical.encode("utf-8", "surrogateescape")
+
+
 class ShiftAnd:
     """Bit i of the state is on when the first i characters of the packed globs up to it match what was read.
 
@@ -64,7 +68,7 @@ class ShiftAnd:
             start.append(len(chars))
             chars.append(None)
             stay.append(False)
-            for byte in glob.encode():
+            for byte in _bytes(glob):
                 if byte == ord("*"):
                     stay[-1] = True
                 else:
@@ -72,12 +76,17 @@ class ShiftAnd:
                     stay.append(False)
             last.append(len(chars) - 1)
         self.words = -(-len(chars) // WORD)
-        self.start, self.stay = self._bits(start), self._bits([i for i, s in enumerate(stay) if s])
+        self.start = self._bits(start)
         self.last = np.array(last)
         everything = [i for i, c in enumerate(chars) if c == ord("?")]
         self.masks = np.zeros((256, self.words), np.uint64)
         for byte in range(256):
             self.masks[byte] = self._bits(everything + [i for i, c in enumerate(chars) if c == byte])
+        # a character's further bytes leave the bit behind a ? on
+        stars = [i for i, s in enumerate(stay) if s]
+        self.stay = np.tile(self._bits(stars), (256, 1))
+        self.stay[0x80:0xC0] = self._bits(stars + everything)
+        self.masks[0x80:0xC0] &= ~self._bits(everything)
 
     def _bits(self, places: list[int]) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -96,7 +105,8 @@ class ShiftAnd:
             now = state[:n]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(WORD - 1)
-            state[:n] = (moved & self.masks[data[places[:n] + t]]) | (now & self.stay)
+            read = data[places[:n] + t]
+            state[:n] = (moved & self.masks[read]) | (now & self.stay[read])
         hit = (state[:, self.last // WORD] >> (self.last % WORD).astype(np.uint64)) & np.uint64(1)
         out = np.empty(hit.shape, bool)
         out[order] = hit.astype(bool)
@@ -135,13 +145,11 @@ def judge_urls(
     globs = [r.glob for r in [*rules, *method]]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidemark.llm.text import utf8
-
         automaton = ShiftAnd(globs)
         for batch in batches:
-            canonical = [f".{h}{SEAM}{p}" for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist())]
-            data, offsets = utf8(pa.array(canonical, pa.large_string()))
-            hit = automaton.matches(data, offsets)
+            canonical = [_bytes(f".{h}{SEAM}{p}") for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist())]
+            offsets = np.cumsum([0, *map(len, canonical)])
+            hit = automaton.matches(np.frombuffer(b"".join(canonical), np.uint8), offsets)
             which = np.where(hit.any(axis=1), hit.argmax(axis=1), len(globs)) if len(globs) else np.full(len(hit), 0)
             yield pa.RecordBatch.from_arrays(
                 [
