@@ -2,12 +2,26 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.check import compare, connect
-from tidemark.llm import chat, decontaminate, jaccard, langid, linededup, packing, quality, secrets, tokencount, urlfilter
+from tidemark.llm import (
+    chat,
+    convnet,
+    decontaminate,
+    jaccard,
+    langid,
+    linededup,
+    packing,
+    quality,
+    ranked,
+    secrets,
+    tokencount,
+    urlfilter,
+)
 from tidemark.llm.queries import QUERIES, SQL, tokenizer_file
 
 BPE, UNIGRAM = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
@@ -60,6 +74,13 @@ OPERATORS = {
     "tokens": lambda d, b: tokencount.count_tokens(d, UNIGRAM),
     "leaks": lambda d, b: decontaminate.leaks(d, b),
     "decontaminate": lambda d, b: decontaminate.decontaminate(d, b),
+    "search": lambda d, b: ranked.search_documents(d, b),
+    "quality": lambda d, b: convnet.score_quality(
+        d,
+        convnet.fit_quality(
+            d, d.selectExpr("doc_id", "int(doc_id > 4) as quality"), convnet.QualityRule(steps=2, batch=8)
+        ),
+    ),
 }
 
 
@@ -81,10 +102,14 @@ def test_odd_rows(spark, name):
     rows = out.collect()
     ids = sorted(str(r.doc_id) for r in rows)
     every = sorted(str(r[0]) for r in odd_rows())
-    if name in ("languages", "judge", "secrets", "lines", "jaccard", "tokens"):
+    if name in ("languages", "judge", "secrets", "lines", "jaccard", "tokens", "quality"):
         assert ids == every
     if name in ("clean", "lines", "one of each", "decontaminate"):
         assert out.columns == docs.columns
+    if name == "search":
+        assert [(r.item_id, r["rank"], r.doc_id) for r in rows] == [(None, 1, 6)]
+    if name == "quality":
+        assert all(0 <= r.score <= 1 for r in rows)
     if name == "one of each":
         assert ids == sorted(["1", "2", "3", "4", "6", "7", "None"])
     if name == "jaccard":
@@ -168,34 +193,79 @@ def test_odd_chats(spark):
 
 
 def test_templated_host(spark):
-    """Pages that share only a block are depleted documents; copies, near ones included, do not deplete themselves."""
+    """Pages that share only a block are depleted documents; exact copies do not deplete themselves."""
     rng = random.Random(3)
     word = lambda low, high: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high)))
-    # short words end it, so that the window of every long word lies inside
     block = "\n".join(" ".join(word(4, 14 if k < 9 else 6) for _ in range(10)) for k in range(10))
     number = lambda k: " ".join(str(rng.randrange(10**6)) for _ in range(k))
     short = lambda k: " ".join(word(3, 6) for _ in range(k))
     rows = [(i, f"{block}\n{number(150)}", "numbers") for i in range(60)]
     rows += [(i, f"{short(15)}\n{block}\n{number(30)}", "short") for i in range(100, 160)]
-    base = [[word(4, 14) for _ in range(10)] for _ in range(20)]
-    for i in range(200, 260):
-        lines = [list(w) for w in base]
-        if i % 2:
-            lines[i % 20][i % 10] = word(4, 14)
-        rows.append((i, "\n".join(map(" ".join, lines)), "copies"))
-    # near copies of one page among pages that share its block
-    rows += [(i, f"{block}\n{number(150)}", "both") for i in range(300, 330)]
-    page = [word(4, 9) for _ in range(300)]
-    for i in range(400, 425):
-        own = list(page)
-        own[i % 300] = word(4, 9)
-        text = "\n".join(" ".join(own[k : k + 10]) for k in range(0, 300, 10))
-        rows.append((i, f"{block}\n{text}", "both"))
+    page = "\n".join(" ".join(word(4, 14) for _ in range(10)) for _ in range(20))
+    rows += [(i, page, "copies") for i in range(200, 260)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert [i for i in found if i < 200 and found[i].kept] == []
-    assert [i for i in found if 200 <= i < 300 and (not found[i].kept or found[i].removed_chars)] == []
-    assert [i for i in found if 300 <= i < 400 and found[i].kept] == []
-    assert [i for i in found if 400 <= i and not found[i].kept] == []
+    assert [i for i in found if 200 <= i and (not found[i].kept or found[i].removed_chars)] == []
     left = {r.doc_id: r.text for r in quality.clean(docs).collect()}
-    assert left[200] == rows[120][1] and all(block.split("\n")[0] not in left[i] for i in range(400, 425))
+    assert set(left) == set(range(200, 260)) and left[200] == page
+
+
+def test_line_limit_at_any_host_size(spark):
+    """A line goes from the same number of texts on, on a small host and on a large one."""
+    block = " ".join(f"menu{chr(97 + k)}" for k in range(22))
+    own = lambda i: " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k)}" for k in range(25))
+    rows = [(i, f"{block}\n{own(i)}", "small") for i in range(25)]
+    rows += [(1000 + i, f"{block}\n{own(i)}" if i < 25 else own(i), "large") for i in range(12_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hit = {r.doc_id for r in quality.judge(docs).filter("removed_chars > 0").collect()}
+    assert hit == set(range(25)) | set(range(1000, 1025))
+
+
+def test_seam_is_no_text(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://evil.com/a.org\x01/b", "x"), (2, "http://evil.net/x.example.org\x01/es/", "y"), (3, "http://a.com/de/\x01", "z")],
+        "page_id long, url string, rule string",
+    )
+    assert {r.page_id: r.rule for r in urlfilter.judge_urls(pages).collect()} == {1: None, 2: None, 3: "com/de/"}
+
+
+def test_one_mark_is_one_character():
+    automaton = urlfilter.ShiftAnd(["a?c", "*?", "?"])
+    texts = [x.encode() for x in ("a\u00e9c", "ac", "\u65e5", "", "\u00e9\u00e9")]
+    hit = automaton.matches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert hit.tolist() == [
+        [True, True, False], [False, True, False], [False, True, True], [False, False, False], [False, True, False]
+    ]
+
+
+def test_texts_that_share_an_id(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (2, "alpha beta gamma delta epsilon zeta"),
+            (2, "only here is this text found"), (2, "only here is this text found"), (3, "few"), (None, "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(str, (tuple(r) for r in jaccard.one_of_each(docs).collect())))
+    assert left == sorted(map(str, [rows[0], rows[1], rows[3], rows[5], rows[6]]))
+    tiny = docs.filter("text = 'few'").coalesce(1)
+    assert {r.n_shingles for r in jaccard.jaccard_join(tiny).collect()} == {1}
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame(
+        [(1, "so: What is the capital of France? Paris."), (2, "the capital of france is not paris"), (3, "paris")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, "what is the capital of france paris"), (2, "Paris")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_words) for r in decontaminate.leaks(docs, items).collect()] == [(1, 1, 7)]
+    small = decontaminate.SeedRule(block_bytes=20)
+    assert [r.doc_id for r in decontaminate.leaks(docs, items, small).collect()] == [1]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items, small).collect()) == [2, 3]
+
+
+def test_many_secrets_in_one_text(spark):
+    lines = [f"token = {'a' * (6 + i % 5)}{i}" for i in range(3000)]
+    found = secrets.scan_secrets(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    at = 0
+    for line, span in zip(lines, found.base):
+        assert (span.start, span.stop) == (at, at + len(line))
+        at += len(line) + 1
+    assert found.n_assign == 3000
