@@ -361,20 +361,20 @@ def detect_random_forest(spark, sf):
 @query("detect_boosting", "DET8 AGG17")
 def detect_boosting(spark, sf):
     train, test, _ = split_matrix(spark, sf)
-    return scores_of(supervised.probability_score(test, supervised.fit_boosting(train, "anomaly", rounds=10)))
+    return scores_of(supervised.probability_score(test, supervised.fit_boosting(train, "anomaly", rounds=20)))
 
 
 @query("detect_boosting_leaf_limited", "DET8 AGG17")
 def detect_boosting_leaf_limited(spark, sf):
     train, test, _ = split_matrix(spark, sf)
-    model = supervised.fit_boosting(train, "anomaly", profile="leaf_limited", rounds=10)
+    model = supervised.fit_boosting(train, "anomaly", profile="leaf_limited", rounds=20)
     return scores_of(supervised.probability_score(test, model))
 
 
 @query("detect_boosting_slow_step", "DET8 AGG17")
 def detect_boosting_slow_step(spark, sf):
     train, test, _ = split_matrix(spark, sf)
-    model = supervised.fit_boosting(train, "anomaly", profile="slow_step", rounds=10)
+    model = supervised.fit_boosting(train, "anomaly", profile="slow_step", rounds=20)
     return scores_of(supervised.probability_score(test, model))
 
 
