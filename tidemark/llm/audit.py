@@ -59,6 +59,8 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a manifest would take 4 MB of disk in advance, for every partition
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
