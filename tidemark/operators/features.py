@@ -79,10 +79,20 @@ def rolling_columns(channels: Sequence[str], w, rows: int = ROLL_ROWS) -> dict[s
     for c in channels:
         out[f"{c}_roll_mean"] = F.avg(c).over(frame)
         out[f"{c}_roll_std"] = F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0))
-        out[f"{c}_roll_median"] = F.percentile(c, F.lit(0.5)).over(frame)
+        out[f"{c}_roll_median"] = _middle(F.sort_array(F.collect_list(c).over(frame)))
     return out
 
 
+def _middle(ordered: Column) -> Column:
+    """The median of a sorted array, null if it is empty; a short frame is sorted faster than counted."""
+
+    def between(x: Column) -> Column:
+        n = F.size(x)
+        return (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) * 0.5
+
+    return F.get(F.transform(F.array(ordered), between), F.lit(0))
+
+
 def lag_columns(channels: Sequence[str], w, lags: Sequence[int] = LAGS) -> dict[str, Column]:
     return {f"{c}_lag{n}": F.coalesce(F.lag(c, n).over(w), F.lit(0.0)) for c in channels for n in lags}
 
