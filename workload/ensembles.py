@@ -196,9 +196,31 @@ def sort_top_ensembles(spark, sf):
     return en.top_ensembles(_ensembles(spark, sf), 5)
 
 
-@query("set_greedy_cover", "SET5")
+def _greedy_sql() -> str:
+    """One step after another: the model with the most rows that no earlier one caught, by name among equals."""
+    steps = []
+    for k in range(1, len(MODELS) + 1):
+        taken = " UNION ALL ".join(f"SELECT model FROM g{i}" for i in range(1, k))
+        left = f"WHERE model NOT IN ({taken})" if taken else ""
+        open_ = f"AND row_id NOT IN (SELECT row_id FROM caught WHERE model IN ({taken}))" if taken else ""
+        rounds = f"WHERE (SELECT gain FROM g{k - 1}) > 0" if taken else ""
+        steps.append(
+            f"""g{k} AS (SELECT * FROM (SELECT {k} AS rank, model, count(row_id) AS gain
+  FROM (SELECT DISTINCT model FROM preds {left}) LEFT JOIN (SELECT * FROM caught WHERE true {open_}) USING (model)
+  GROUP BY model ORDER BY gain DESC, model LIMIT 1) {rounds})"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(1, len(MODELS) + 1))
+    return f"""WITH {MODEL_SCORES_SQL}, {_TEST_SQL},
+caught AS (SELECT DISTINCT p.model, p.row_id FROM preds p JOIN test t USING (row_id) WHERE p.predicted = 1 AND t.anomaly = 1),
+{", ".join(steps)}
+SELECT rank, model, gain, round(sum(gain) OVER (ORDER BY rank) / (SELECT count(*) FROM test WHERE anomaly = 1), 6) AS cumulative_recall
+FROM ({every})"""
+
+
+@query("set_greedy_cover", "SET5", _greedy_sql())
 def set_greedy_cover(spark, sf):
-    return en.greedy_cover(predictions(spark, sf), test_rows(spark, sf), MODELS)
+    out = en.greedy_cover(predictions(spark, sf), test_rows(spark, sf), MODELS)
+    return out.withColumn("cumulative_recall", F.round("cumulative_recall", 6))
 
 
 @query(
