@@ -36,9 +36,10 @@ def copies(seed, groups=12, size=120):
 
 
 @pytest.mark.parametrize("seed,words,percent,cheap", [(1, 3, 90, 8), (2, 3, 90, 0), (3, 5, 80, 1), (4, 2, 50, 0)])
-def test_jaccard_components(spark, seed, words, percent, cheap):
+@pytest.mark.parametrize("compare", [0.25, 100.0])
+def test_jaccard_components(spark, seed, words, percent, cheap, compare):
     texts = copies(seed)
-    rule = jaccard.JaccardRule(words=words, at_least=percent, cheap=cheap)
+    rule = jaccard.JaccardRule(words=words, at_least=percent, cheap=cheap, compare=compare)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs, rule).collect()}
     sets = []
@@ -59,6 +60,28 @@ def test_jaccard_components(spark, seed, words, percent, cheap):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_takes_the_k_of_least_cost(spark):
+    rule = jaccard.JaccardRule()
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        n = int(rng.integers(1, 120))
+        common = int(rng.integers(rule.least(n), n + 1))
+        df = sorted(int(x) for x in rng.zipf(1.5 + i % 3, common).clip(2, 10_000))
+        rows.append((i, n, common, int(rule.least(n)), [(x, j) for j, x in enumerate(df)]))
+    schema = "id long, n long, common long, least long, `order` array<struct<df long, token long>>"
+    got = {r.id: r.k for r in spark.createDataFrame(rows, schema).withColumn("k", jaccard._own_k(rule)).collect()}
+
+    def cost(row, k):
+        _, n, common, least, order = row
+        return sum(df - 1 for df, _ in order[: common - least + k]) * (1 + rule.compare * n / k)
+
+    for row in rows:
+        ks = [min(2, row[3])] + [k for k in (4, 8, 16, 32) if k <= row[3]]
+        assert got[row[0]] == min(ks, key=lambda k: cost(row, k))
+    assert len(set(got.values())) > 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(100, i) for i in range(101, 160)]

@@ -9,11 +9,14 @@ more; so k matches in such prefixes are asked for before two sets are compared.
   chance. A set of which fewer than k prefix shingles are shared at all drops out. The holders of the
   prefix shingles among the others give each set's expected candidates. Sets whose cost is below ``cheap`` times the
   prefix length meet all others here: their candidates are few.
-* Level 2, the costly sets among themselves: the prefix is lengthened over the whole set, ordered from the rarest
-  shingle on, with k of ``level_two``. A set with more unshared shingles than its partners may lack drops out, and so
-  does a pair of which one side shares too little. What still meets is compared with the most central set of each
-  shingle's holders first; afterwards only pairs can be new whose sides are not tied to the same centre, and one side
-  of them is not tied to the shingle's. Every such pair is compared: nothing is capped.
+* Level 2, the costly sets among themselves: shingles are ordered from the rarest on, and each set takes a k of its own
+  from ``level_two`` on. A k costs the postings of its prefix, and the candidates that can hold k of them (postings / k)
+  times what comparing two whole sets takes; k is doubled for as long as there are shingles, and the cheapest one is
+  taken. The prefix is longer by as much, and a pair is compared only with the smaller k of the two in common. A set
+  with more unshared shingles than its partners may lack drops out, and so does a pair of which one side shares too
+  little. What meets in the shortest prefixes is compared with the most central set of each shingle's holders first;
+  afterwards only pairs can be new whose sides are not tied to the same centre, and one side of them is not tied to the
+  shingle's. Every such pair is compared: nothing is capped.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ FILTER_BITS = 1 << 23
 
 @dataclass(frozen=True)
 class JaccardRule:
-    """Runs of ``words`` words; linked if ``of`` * intersection >= ``at_least`` * union."""
+    """Runs of ``words`` words; linked if ``of`` * intersection >= ``at_least`` * union.
+
+    ``compare`` is what a shingle of two compared sets costs, in postings read.
+    """
 
     words: int = 5
     at_least: int = 80
@@ -45,6 +51,7 @@ class JaccardRule:
     lengthen: int = 20
     level_two: int = 2
     cheap: int = 8
+    compare: float = 0.25
 
     def least(self, n):
         """The overlap that a set of n needs at least; for numbers, arrays and columns."""
@@ -229,6 +236,36 @@ def _cheap_pairs(shared: DataFrame, nodes: DataFrame, rule: JaccardRule) -> Data
     )
 
 
+def _own_k(rule: JaccardRule) -> Column:
+    """The k of least cost for a set (n, common, least, order); equal costs go to the smaller one.
+
+    Each doubling adds up only the postings by which it lengthens the prefix.
+    """
+    most = F.least(F.lit(16 * rule.level_two).cast("long"), F.col("least"))
+    first = F.least(F.lit(rule.level_two).cast("long"), F.col("least"))
+    base = F.col("common") - F.col("least")
+    doublings = F.array(*[F.lit(rule.level_two << i).cast("long") for i in range(5)])
+    steps = F.filter(doublings, lambda k: (k > first) & (k <= most))
+
+    def postings(start: Column, length: Column) -> Column:
+        part = F.slice("order", start.cast("int"), length.cast("int"))
+        return F.aggregate(part, F.lit(0).cast("long"), lambda total, x: total + x["df"] - 1)
+
+    def whole(read: Column, k: Column) -> Column:
+        return read * (1 + rule.compare * F.col("n") / k)
+
+    def state(k: Column, read: Column, cost: Column, best: Column) -> Column:
+        return F.struct(k.alias("k"), read.alias("read"), cost.alias("cost"), best.alias("best"))
+
+    def lengthen(at: Column, k: Column) -> Column:
+        read = at["read"] + postings(base + at["k"] + 1, k - at["k"])
+        better = whole(read, k) < at["cost"]
+        return state(k, read, F.when(better, whole(read, k)).otherwise(at["cost"]), F.when(better, k).otherwise(at["best"]))
+
+    begin = postings(F.lit(1), base + first)
+    return F.aggregate(steps, state(first, begin, whole(begin, first), first), lengthen, lambda at: at["best"])
+
+
 def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     """Links among the costly sets (node, n, tokens) that are enough to join what is joined: stars, then the rest."""
     rare = _shared(sets.select("node", "n", F.explode("tokens").alias("token")))
@@ -237,15 +274,16 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     )
     # ``common`` bounds the overlap with any other set; what is not shared is the rarest and begins the order
     ranked = ranked.withColumn("least", F.expr(rule.least_sql("n"))).filter("common >= least")
-    k = F.least(F.lit(rule.level_two).cast("long"), F.col("least"))
-    head = F.slice("order", F.lit(1), (F.col("common") - F.col("least") + k).cast("int"))
+    ranked = ranked.withColumn("k", _own_k(rule))
+    head = F.slice("order", F.lit(1), (F.col("common") - F.col("least") + F.col("k")).cast("int"))
     postings = cut(
-        ranked.select("node", "n", "common", F.posexplode(F.transform(head, lambda x: x["token"])).alias("rank", "token"))
+        ranked.select("node", "n", "common", "k", F.posexplode(F.transform(head, lambda x: x["token"])).alias("rank", "token"))
     )
     lone = (F.col("n") - F.col("common")).alias("lone")
     centre = postings.groupBy("token").agg(F.min(F.struct(lone, "node")).alias("centre"), F.count("*").alias("df"))
     centre = centre.filter("df > 1").select("token", F.col("centre.lone").alias("lone"), F.col("centre.node").alias("centre"))
-    spokes = postings.join(centre, "token").filter("node <> centre").select("node", "centre", "lone").distinct()
+    short = postings.filter(f"rank < common - {rule.least_sql('n')} + {rule.level_two}")
+    spokes = short.join(centre, "token").filter("node <> centre").select("node", "centre", "lone").distinct()
     stars = cut(_linked(spokes.select(F.col("node").alias("a"), F.col("centre").alias("b"), "lone").drop("lone"), sets, rule))
     hubs = postings.select(F.col("node").alias("b"), lone).distinct()
     label = (
@@ -262,19 +300,19 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     )
     held = cut(held.join(main, "token"))
     apart = held.filter("label <> main").select(
-        "token", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "label", "rank")]
+        "token", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "k", "label", "rank")]
     )
-    # the overlap that this very pair needs says how far its matches may lie from the begin of either side
+    # the overlap that this very pair needs says how far its first matches may lie from the begin of either side
     need = rule.both_sql("n", "n_1")
     met = held.join(apart, "token").filter(
         "label <> label_1 and (label = main or node < node_1)"
         f" and least(n, n_1) >= {rule.least_sql('greatest(n, n_1)')}"
-        f" and rank < common - {need} + {rule.level_two} and rank_1 < common_1 - {need} + {rule.level_two}"
+        f" and rank < common - {need} + least(k, k_1) and rank_1 < common_1 - {need} + least(k, k_1)"
     )
     rest = (
         met.groupBy(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b"))
-        .agg(F.count("*").alias("matches"), F.min(F.least("n", "n_1")).alias("n"))
-        .filter(f"matches >= least({rule.level_two}, {rule.least_sql('n')})")
+        .agg(F.count("*").alias("matches"), F.min(F.least("k", "k_1")).alias("k"))
+        .filter("matches >= k")
         .select("a", "b")
     )
     return stars.union(_linked(rest, sets, rule))
