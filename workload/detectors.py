@@ -355,7 +355,7 @@ def detect_gaussian_mixture(spark, sf):
 @query("detect_random_forest", "DET7 AGG17")
 def detect_random_forest(spark, sf):
     train, test, _ = split_matrix(spark, sf)
-    return scores_of(supervised.probability_score(test, supervised.fit_random_forest(train, "anomaly", trees=20, depth=10)))
+    return scores_of(supervised.probability_score(test, supervised.fit_random_forest(train, "anomaly")))
 
 
 @query("detect_boosting", "DET8 AGG17")
