@@ -62,24 +62,36 @@ def test_jaccard_components(spark, seed, words, percent, cheap, compare):
 
 def test_jaccard_takes_the_k_of_least_cost(spark):
     rule = jaccard.JaccardRule()
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(60):
-        n = int(rng.integers(1, 120))
-        common = int(rng.integers(rule.least(n), n + 1))
-        df = sorted(int(x) for x in rng.zipf(1.5 + i % 3, common).clip(2, 10_000))
-        rows.append((i, n, common, int(rule.least(n)), [(x, j) for j, x in enumerate(df)]))
-    schema = "id long, n long, common long, least long, `order` array<struct<df long, token long>>"
-    got = {r.id: r.k for r in spark.createDataFrame(rows, schema).withColumn("k", jaccard._own_k(rule)).collect()}
-
-    def cost(row, k):
-        _, n, common, least, order = row
-        return sum(df - 1 for df, _ in order[: common - least + k]) * (1 + rule.compare * n / k)
-
-    for row in rows:
-        ks = [min(2, row[3])] + [k for k in (4, 8, 16, 32) if k <= row[3]]
-        assert got[row[0]] == min(ks, key=lambda k: cost(row, k))
-    assert len(set(got.values())) > 2
+    doublings = [2, 4, 8, 16, 32]
+    rng = random.Random(5)
+    held, sets, label = [], {}, {}
+    for i in range(80):
+        n = rng.randint(1, 120)
+        common = rng.randint(rule.least(n), n)
+        longest = common - rule.least(n) + min(32, rule.least(n))
+        tokens = sorted(rng.sample(range(1000), longest), reverse=True)
+        label[i] = rng.choice([0, 0, 1, i])
+        sets[i] = (n, common, tokens)
+        held += [(i, n, common, rank, token, label[i]) for rank, token in enumerate(tokens)]
+    pairs = [p for p in combinations(range(80), 2) if label[p[0]] != label[p[1]] and rng.random() < 0.05 * (p[0] % 4)]
+    rows = spark.createDataFrame(held, "node long, n long, common long, rank long, token long, label long")
+    rows = rows.join(jaccard._others(rows, rule), ["token", "label"])
+    got = {r.node: r.k for r in jaccard._own_k(rows, spark.createDataFrame(pairs, "a long, b long"), rule).collect()}
+
+    def prefix(i, k):
+        n, common, tokens = sets[i]
+        return set(tokens[: max(0, common - rule.least(n) + k)])
+
+    def cost(i, k):
+        read = sum(len(prefix(i, k) & prefix(j, k)) for j in sets if label[j] != label[i])
+        return read + min(sum(i in p for p in pairs), read / k) * sets[i][0] * rule.compare
+
+    want = {}
+    for i in sets:
+        if any(i in p for p in pairs):
+            want[i] = min([2] + [k for k in doublings[1:] if k <= rule.least(sets[i][0])], key=lambda k: cost(i, k))
+    assert got == {i: k for i, k in want.items() if k > 2}
+    assert 2 in want.values() and len(set(want.values())) > 2
 
 
 def test_components_of_a_chain_and_a_star(spark):

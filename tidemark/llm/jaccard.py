@@ -9,14 +9,15 @@ more; so k matches in such prefixes are asked for before two sets are compared.
   chance. A set of which fewer than k prefix shingles are shared at all drops out. The holders of the
   prefix shingles among the others give each set's expected candidates. Sets whose cost is below ``cheap`` times the
   prefix length meet all others here: their candidates are few.
-* Level 2, the costly sets among themselves: shingles are ordered from the rarest on, and each set takes a k of its own
-  from ``level_two`` on. A k costs the postings of its prefix, and the candidates that can hold k of them (postings / k)
-  times what comparing two whole sets takes; k is doubled for as long as there are shingles, and the cheapest one is
-  taken. The prefix is longer by as much, and a pair is compared only with the smaller k of the two in common. A set
-  with more unshared shingles than its partners may lack drops out, and so does a pair of which one side shares too
-  little. What meets in the shortest prefixes is compared with the most central set of each shingle's holders first;
-  afterwards only pairs can be new whose sides are not tied to the same centre, and one side of them is not tied to the
-  shingle's. Every such pair is compared: nothing is capped.
+* Level 2, the costly sets among themselves: shingles are ordered from the rarest on. What meets in the prefixes for
+  ``level_two`` matches is compared with the most central set of each shingle's holders first; sets tied to one centre
+  have its label. Only pairs can be new whose labels differ, and one side of them has not the shingle's most frequent
+  label. Those that ``level_two`` matches leave are a set's candidates, and then each set takes a k of its own. A k costs
+  the postings of other labels in its prefix, and its candidates (at most those found, and at most postings / k, as each
+  holds k of them) times what comparing two whole sets takes; k is doubled up to ``DOUBLINGS`` values, as far as the set's
+  least overlap goes, and the cheapest one is taken. The prefix is longer by as much, and a pair is compared only with the
+  smaller k of the two in common. A set with more unshared shingles than its partners may lack drops out, and so does a
+  pair of which one side shares too little. Every pair that is left is compared: nothing is capped.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tidemark.llm.text import LOWER, mix, parts, shingles, span_hashes, utf8, wo
 
 #: Bits of the filter that picks the rows whose sets are wanted; it has this size however many they are.
 FILTER_BITS = 1 << 23
+#: The values of k that a costly set chooses from, each twice the one before.
+DOUBLINGS = 5
 
 
 @dataclass(frozen=True)
@@ -236,34 +239,80 @@ def _cheap_pairs(shared: DataFrame, nodes: DataFrame, rule: JaccardRule) -> Data
     )
 
 
-def _own_k(rule: JaccardRule) -> Column:
-    """The k of least cost for a set (n, common, least, order); equal costs go to the smaller one.
+def _doublings(rule: JaccardRule) -> list[int]:
+    return [rule.level_two << i for i in range(DOUBLINGS)]
 
-    Each doubling adds up only the postings by which it lengthens the prefix.
+
+def _place(rule: JaccardRule) -> Column:
+    """A posting is in its set's prefix for k matches if this is below k."""
+    return F.expr(f"rank - common + {rule.least_sql('n')}")
+
+
+def _others(held: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(token, label, main, others): by k, the sets of other labels that have the token in their prefixes; the main label.
+
+    Sets of one label are linked already, so that these are what a set meets at the token.
     """
-    most = F.least(F.lit(16 * rule.level_two).cast("long"), F.col("least"))
-    first = F.least(F.lit(rule.level_two).cast("long"), F.col("least"))
-    base = F.col("common") - F.col("least")
-    doublings = F.array(*[F.lit(rule.level_two << i).cast("long") for i in range(5)])
-    steps = F.filter(doublings, lambda k: (k > first) & (k <= most))
+    doublings = _doublings(rule)
+    same = cut(
+        held.groupBy("token", "label").agg(*[F.count(F.when(_place(rule) < k, 1)).alias(f"same_{k}") for k in doublings])
+    )
+    most = F.max(F.struct(f"same_{doublings[-1]}", "label"))["label"].alias("main")
+    all_sets = same.groupBy("token").agg(most, *[F.sum(f"same_{k}").alias(f"all_{k}") for k in doublings])
+    others = F.array(*[F.col(f"all_{k}") - F.col(f"same_{k}") for k in doublings])
+    return same.join(all_sets, "token").select("token", "label", "main", others.alias("others"))
 
-    def postings(start: Column, length: Column) -> Column:
-        part = F.slice("order", start.cast("int"), length.cast("int"))
-        return F.aggregate(part, F.lit(0).cast("long"), lambda total, x: total + x["df"] - 1)
 
-    def whole(read: Column, k: Column) -> Column:
-        return read * (1 + rule.compare * F.col("n") / k)
+def _own_k(held: DataFrame, candidates: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(node, k) of the sets for which more matches than the first ones cost least; equal costs go to the smaller k.
 
-    def state(k: Column, read: Column, cost: Column, best: Column) -> Column:
-        return F.struct(k.alias("k"), read.alias("read"), cost.alias("cost"), best.alias("best"))
+    ``candidates`` are the pairs (a, b) of the first prefixes. Without any, a longer prefix saves nothing.
+    """
+    sides = candidates.select(F.col("a").alias("node")).union(candidates.select("b"))
+    found = sides.groupBy("node").agg(F.count("*").alias("found"))
+    doublings = _doublings(rule)
+    reads = [
+        F.sum(F.when(_place(rule) < k, F.col("others")[i]).otherwise(0)).alias(f"read_{k}") for i, k in enumerate(doublings)
+    ]
+    read = held.join(found, "node").groupBy("node").agg(F.max("n").alias("n"), F.max("found").alias("found"), *reads)
+    costs = []
+    for k in doublings:
+        left = F.least(F.col("found"), F.col(f"read_{k}") / k)
+        choice = F.struct((F.col(f"read_{k}") + left * F.col("n") * rule.compare).alias("cost"), F.lit(k).cast("long").alias("k"))
+        # a set has no more matches to ask for than its least overlap
+        costs.append(choice if k == doublings[0] else F.when(F.expr(rule.least_sql("n")) >= k, choice))
+    return read.select("node", F.least(*costs)["k"].alias("k")).filter(F.col("k") > rule.level_two)
+
+
+def _meetings(held: DataFrame, rule: JaccardRule) -> DataFrame:
+    """The pairs (a, b) of different labels with the smaller k of the two in common, in the prefixes for it."""
+    apart = held.filter("label <> main").select(
+        "token", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "k", "label", "rank")]
+    )
+    # the overlap that this very pair needs says how far its first matches may lie from the begin of either side
+    need = rule.both_sql("n", "n_1")
+    met = held.join(apart, "token").filter(
+        "label <> label_1 and (label = main or node < node_1)"
+        f" and least(n, n_1) >= {rule.least_sql('greatest(n, n_1)')}"
+        f" and rank < common - {need} + least(k, k_1) and rank_1 < common_1 - {need} + least(k, k_1)"
+    )
+    return (
+        met.groupBy(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b"))
+        .agg(F.count("*").alias("matches"), F.min(F.least("k", "k_1")).alias("k"))
+        .filter("matches >= k")
+        .select("a", "b")
+    )
 
-    def lengthen(at: Column, k: Column) -> Column:
-        read = at["read"] + postings(base + at["k"] + 1, k - at["k"])
-        better = whole(read, k) < at["cost"]
-        return state(k, read, F.when(better, whole(read, k)).otherwise(at["cost"]), F.when(better, k).otherwise(at["best"]))
 
-    begin = postings(F.lit(1), base + first)
-    return F.aggregate(steps, state(first, begin, whole(begin, first), first), lengthen, lambda at: at["best"])
+def _candidates(held: DataFrame, rule: JaccardRule) -> DataFrame:
+    """The pairs (a, b) to compare: those of the first prefixes, and of two sets with longer ones what meets in these too."""
+    first = held.withColumn("k", F.least(F.lit(rule.level_two).cast("long"), F.expr(rule.least_sql("n"))))
+    pairs = cut(_meetings(first.filter(_place(rule) < F.col("k")), rule))
+    longer = cut(_own_k(held, pairs, rule))
+    again = _meetings(held.join(longer, "node").filter(_place(rule) < F.col("k")), rule).withColumn("again", F.lit(True))
+    ends = [longer.select(F.col("node").alias(c), F.col("k").alias(f"k_{c}")) for c in ("a", "b")]
+    pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").join(again, ["a", "b"], "left")
+    return pairs.filter("k_a is null or k_b is null or again").select("a", "b")
 
 
 def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -274,18 +323,18 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     )
     # ``common`` bounds the overlap with any other set; what is not shared is the rarest and begins the order
     ranked = ranked.withColumn("least", F.expr(rule.least_sql("n"))).filter("common >= least")
-    ranked = ranked.withColumn("k", _own_k(rule))
-    head = F.slice("order", F.lit(1), (F.col("common") - F.col("least") + F.col("k")).cast("int"))
+    longest = F.least(F.lit(rule.level_two << (DOUBLINGS - 1)).cast("long"), F.col("least"))
+    head = F.slice("order", F.lit(1), (F.col("common") - F.col("least") + longest).cast("int"))
     postings = cut(
-        ranked.select("node", "n", "common", "k", F.posexplode(F.transform(head, lambda x: x["token"])).alias("rank", "token"))
+        ranked.select("node", "n", "common", F.posexplode(F.transform(head, lambda x: x["token"])).alias("rank", "token"))
     )
     lone = (F.col("n") - F.col("common")).alias("lone")
-    centre = postings.groupBy("token").agg(F.min(F.struct(lone, "node")).alias("centre"), F.count("*").alias("df"))
-    centre = centre.filter("df > 1").select("token", F.col("centre.lone").alias("lone"), F.col("centre.node").alias("centre"))
     short = postings.filter(f"rank < common - {rule.least_sql('n')} + {rule.level_two}")
-    spokes = short.join(centre, "token").filter("node <> centre").select("node", "centre", "lone").distinct()
-    stars = cut(_linked(spokes.select(F.col("node").alias("a"), F.col("centre").alias("b"), "lone").drop("lone"), sets, rule))
-    hubs = postings.select(F.col("node").alias("b"), lone).distinct()
+    centre = short.groupBy("token").agg(F.min(F.struct(lone, "node")).alias("centre"), F.count("*").alias("df"))
+    centre = centre.filter("df > 1").select("token", F.col("centre.node").alias("centre"))
+    spokes = short.join(centre, "token").filter("node <> centre").select("node", "centre").distinct()
+    stars = cut(_linked(spokes.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, rule))
+    hubs = ranked.select(F.col("node").alias("b"), lone)
     label = (
         stars.join(hubs, "b")
         .groupBy(F.col("a").alias("node"))
@@ -295,27 +344,9 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     up = label.select(F.col("node").alias("label"), F.col("label").alias("above"))
     label = cut(label.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")))
     held = postings.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = centre.join(label.withColumnRenamed("node", "centre"), "centre", "left").select(
-        "token", F.coalesce("label", "centre").alias("main")
-    )
-    held = cut(held.join(main, "token"))
-    apart = held.filter("label <> main").select(
-        "token", *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "k", "label", "rank")]
-    )
-    # the overlap that this very pair needs says how far its first matches may lie from the begin of either side
-    need = rule.both_sql("n", "n_1")
-    met = held.join(apart, "token").filter(
-        "label <> label_1 and (label = main or node < node_1)"
-        f" and least(n, n_1) >= {rule.least_sql('greatest(n, n_1)')}"
-        f" and rank < common - {need} + least(k, k_1) and rank_1 < common_1 - {need} + least(k, k_1)"
-    )
-    rest = (
-        met.groupBy(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b"))
-        .agg(F.count("*").alias("matches"), F.min(F.least("k", "k_1")).alias("k"))
-        .filter("matches >= k")
-        .select("a", "b")
-    )
-    return stars.union(_linked(rest, sets, rule))
+    met_by = _others(held, rule).filter("element_at(others, -1) > 0")
+    held = cut(held.join(met_by, ["token", "label"]))
+    return stars.union(_linked(_candidates(held, rule), sets, rule))
 
 
 def _components(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
