@@ -254,7 +254,7 @@ def _others(held: DataFrame, rule: JaccardRule) -> DataFrame:
     Sets of one label are linked already, so that these are what a set meets at the token.
     """
     doublings = _doublings(rule)
-    same = cut(
+    same = stored(
         held.groupBy("token", "label").agg(*[F.count(F.when(_place(rule) < k, 1)).alias(f"same_{k}") for k in doublings])
     )
     most = F.max(F.struct(f"same_{doublings[-1]}", "label"))["label"].alias("main")
@@ -325,7 +325,7 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     ranked = ranked.withColumn("least", F.expr(rule.least_sql("n"))).filter("common >= least")
     longest = F.least(F.lit(rule.level_two << (DOUBLINGS - 1)).cast("long"), F.col("least"))
     head = F.slice("order", F.lit(1), (F.col("common") - F.col("least") + longest).cast("int"))
-    postings = cut(
+    postings = stored(
         ranked.select("node", "n", "common", F.posexplode(F.transform(head, lambda x: x["token"])).alias("rank", "token"))
     )
     lone = (F.col("n") - F.col("common")).alias("lone")
@@ -345,7 +345,7 @@ def _costly_links(sets: DataFrame, rule: JaccardRule) -> DataFrame:
     label = cut(label.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")))
     held = postings.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     met_by = _others(held, rule).filter("element_at(others, -1) > 0")
-    held = cut(held.join(met_by, ["token", "label"]))
+    held = stored(held.join(met_by, ["token", "label"]))
     return stars.union(_linked(_candidates(held, rule), sets, rule))
 
 
