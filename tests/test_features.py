@@ -127,3 +127,40 @@ def test_causal_features_ignore_later_rows(telemetry):
     pd.testing.assert_frame_equal(
         full.set_index("id")[causal], part.set_index("id")[causal], check_exact=False, rtol=1e-12
     )
+
+
+def test_batches_agree_with_the_window_expressions(spark):
+    """Missing values, frames across batch edges and a series longer than any frame."""
+    rng = np.random.default_rng(4)
+    pick = lambda v: None if rng.random() < 0.15 else v
+    rows = [
+        (s, i, n, *[pick(float(v)) for v in rng.normal(10, 2, 5).round(3)], pick(int(rng.integers(0, 256))), 0, pick(int(rng.random() < 0.02)))
+        for n, (s, i) in enumerate([("a", i) for i in range(700)] + [(None, i) for i in range(90)] + [("c", 0)])
+    ]
+    names = "s string, t long, id long, temperature double, pressure double, voltage double, current double, error_rate double, heartbeat int, quality_flag int, alarm int"
+    df = spark.createDataFrame(rows, names)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = by_id(feat.add_features(df, SPEC))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def build(part, keyed):
+        w = keyed.window()
+        cols = feat.rolling_columns(("temperature", "current"), w) | feat.lag_columns(("voltage",), w)
+        cols |= {"pressure_roc": feat.change_column("pressure", w), "pressure_grad": feat.gradient_column("pressure", w)}
+        cols |= {"time_since_alarm": feat.since_alarm_column("alarm", w), "alarm_freq": feat.alarm_rate_column("alarm", w)}
+        cols |= {"temp_curr_corr": feat.rolling_correlation_column("temperature", "current", w)}
+        cols |= {"heartbeat_delta": feat.counter_delta_column("heartbeat", w)}
+        return feat.add_ewma(part, keyed, ("current",)).select("*", *[c.alias(n) for n, c in cols.items()])
+
+    want = by_id(over_series(df, SPEC, build, back=300, ahead=1).na.fill(0.0))
+    assert len(got) == 791
+    for c in set(want.columns) & set(feat.engineered_columns(feat.add_features(df, SPEC))):
+        np.testing.assert_array_equal(got[c], want[c], err_msg=c)
+
+
+def test_features_need_no_window_operator(telemetry):
+    """Window expressions took some 400 microseconds a row and core; the batches take some ten."""
+    plan = feat.add_features(telemetry, SPEC)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
