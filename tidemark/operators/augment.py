@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.sizing import join_on
+from tidemark.plans.sizing import join_few, join_on
 
 DAY_STEPS = 1440
 
@@ -199,7 +199,8 @@ def rule_alarm(df: DataFrame, spec_table: DataFrame, error_band: float = 0.15, b
 
     ``spec_table``: subsystem, temp_mean, temp_band, voltage_mean, voltage_band.
     """
-    joined = df.join(spec_table, "subsystem", "left")
+    # a row without a subsystem meets no line of the table
+    joined = join_few(df, spec_table.filter("subsystem IS NOT NULL"), ["subsystem"], "left")
     fired = (
         (F.abs(F.col("temperature") - F.col("temp_mean")) > F.col("temp_band"))
         | (F.abs(F.col("voltage") - F.col("voltage_mean")) > F.col("voltage_band"))
