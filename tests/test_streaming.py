@@ -164,3 +164,25 @@ def test_injected_fault_shapes(spark):
     assert [out[i]["temperature"] - (10 + i) for i in range(20, 25)] == pytest.approx([0, 1, 2, 3, 4])
     assert out[24]["voltage"] == pytest.approx(1.85) and out[24]["anomaly_type"] == "persistent_anomaly"
     assert out[12]["anomaly"] == 0 and out[3]["temperature"] == 13.0
+
+
+def test_faults_do_not_shuffle_rows_that_lie_by_series(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans.ordered import with_position
+    from workload.roles import TELEMETRY, telemetry
+    from workload.tables import _episodes
+
+    df = telemetry(spark, sf)
+    placed = with_position(df, TELEMETRY, "pos").withColumn("step", F.col("pos") - 1).drop("pos")
+    spark.conf.set("spark.tidemark.maxBroadcastRows", "1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = aug.inject(placed, _episodes(df), ["element_id"], "step", ["element_id", "step"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the rows once for their positions, and the few episodes
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert out.count() == df.count()
+    finally:
+        spark.conf.unset("spark.tidemark.maxBroadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

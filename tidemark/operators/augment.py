@@ -1,9 +1,9 @@
 """Labelled fault injection into an existing table.
 
 Faults are closed-form in the position p of a row inside its episode and the episode
-length m.  Episodes are a small table (size checked); rows meet them by a broadcast
-range join on the series and the step, so the telemetry itself is not shuffled except
-where a fault holds the last value before the episode.
+length m.  The episodes of a series are gathered with the values that they hold; rows
+meet them by the series alone, so telemetry that is dealt out by series is not
+shuffled again.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.sizing import join_few, join_on
+from tidemark.plans.sizing import broadcast_rows_limit, join_few
+from tidemark.plans.stages import checkpointed
 
 DAY_STEPS = 1440
 
@@ -126,72 +127,90 @@ def inject(
     later episode wins.
     """
     v = {**DEFAULTS, **values}
-    eps = episodes.select(*[F.col(c).alias(f"_e_{c}") for c in episodes.columns])
-    on = (F.col(step) >= F.col("_e_start")) & (F.col(step) < F.col("_e_end"))
-    for c in series:
-        on = on & (F.col(c) == F.col(f"_e_{c}"))
-    hit = df.join(eps, on)
-
-    p, m = (F.col(step) - F.col("_e_start")).cast("double"), (F.col("_e_end") - F.col("_e_start")).cast("double")
-    kind, channel, size = F.col("_e_kind"), F.col("_e_channel"), F.col("_e_size")
-    changes = channel_changes(p, m, F.col(step).cast("double"), size, v)
+    met = _meet(df, episodes, series, step)
     channels = [*HELD_CHANNELS, "error_rate"]
-    deltas = {}
-    for c in channels:
-        total = F.lit(0.0)
-        for (k, target), change in changes.items():
-            if target == c:
-                total = total + F.when(kind == k, change).otherwise(0.0)
-        if c in POINT_JUMP:
-            total = total + F.when((kind == "point_anomaly") & (channel == c), size * POINT_JUMP[c]).otherwise(0.0)
-        if c in STEP_OFFSET:
-            total = total + F.when((kind == "persistent_anomaly") & (channel == c), size * STEP_OFFSET[c]).otherwise(0.0)
-        deltas[c] = total
-    ramped = F.when(kind == "cooling_failure", ramp(p, m, v["cooling_exponent"]) > v["cooling_quality_from"])
-    ramped = ramped.when(kind == "cascading_failure", ramp(p, m, v["cascade_exponent"]) > v["cascade_quality_from"])
-    worse = (
-        F.when(kind == "communication_loss", 2)
-        .when(kind == "sensor_freeze", 1)
-        .when(ramped, 1)
-        .when((kind == "increasing_error_rate") & (F.col("error_rate") + deltas["error_rate"] > v["error_quality_from"]), 1)
-        .otherwise(0)
-    )
-    holds = kind.isin(*HELD_KINDS)
-    touched = hit.groupBy(*row_id).agg(
-        *[F.sum(d).alias(f"_d_{c}") for c, d in deltas.items()],
-        F.max(worse).alias("_quality"),
-        F.max_by(kind, F.col("_e_episode")).alias("_kind"),
-        F.max_by(F.col("_e_start"), F.when(holds, F.col("_e_episode"))).alias("_hold_from"),
-        F.max(F.when(kind == "communication_loss", F.col("_e_start"))).alias("_frozen_from"),
+
+    def deltas(e: Column) -> dict[str, Column]:
+        p, m = (F.col(step) - e["start"]).cast("double"), (e["end"] - e["start"]).cast("double")
+        changes = channel_changes(p, m, F.col(step).cast("double"), e["size"], v)
+        out = {}
+        for c in channels:
+            total = F.lit(0.0)
+            for (k, target), change in changes.items():
+                if target == c:
+                    total = total + F.when(e["kind"] == k, change).otherwise(0.0)
+            for kind, jumps in (("point_anomaly", POINT_JUMP), ("persistent_anomaly", STEP_OFFSET)):
+                if c in jumps:
+                    total = total + F.when((e["kind"] == kind) & (e["channel"] == c), e["size"] * jumps[c]).otherwise(0.0)
+            out[c] = total
+        return out
+
+    def worse(e: Column) -> Column:
+        p, m = (F.col(step) - e["start"]).cast("double"), (e["end"] - e["start"]).cast("double")
+        ramped = F.when(e["kind"] == "cooling_failure", ramp(p, m, v["cooling_exponent"]) > v["cooling_quality_from"])
+        ramped = ramped.when(e["kind"] == "cascading_failure", ramp(p, m, v["cascade_exponent"]) > v["cascade_quality_from"])
+        high = F.col("error_rate") + deltas(e)["error_rate"] > v["error_quality_from"]
+        return (
+            F.when(e["kind"] == "communication_loss", 2)
+            .when(e["kind"] == "sensor_freeze", 1)
+            .when(ramped, 1)
+            .when((e["kind"] == "increasing_error_rate") & high, 1)
+            .otherwise(0)
+        )
+
+    def change(c: str) -> Column:
+        added = F.aggregate("_hits", F.lit(0.0), lambda sum_, e: sum_ + F.coalesce(deltas(e)[c].cast("double"), F.lit(0.0)))
+        return F.coalesce(added, F.lit(0.0))
+
+    def latest(which, *fields: str) -> Column:
+        found = F.filter("_hits", lambda e: e["episode"].isNotNull() & which(e))
+        return F.array_max(F.transform(found, lambda e: F.struct(e["episode"], *[e[c] for c in fields])))
+
+    lost = F.filter("_hits", lambda e: e["kind"] == "communication_loss")
+    touched = met.withColumns(
+        {
+            "_kind": latest(lambda e: F.lit(True), "kind")["kind"],
+            "_quality": F.array_max(F.transform("_hits", worse)),
+            "_hold": latest(lambda e: e["kind"].isin(*HELD_KINDS), "start", "held"),
+            "_frozen_from": F.array_max(F.transform(lost, lambda e: e["start"])),
+        }
     )
-    out = join_on(df, touched, list(row_id), "left")
-    out = _hold(out, eps, series, step)
-    cols = {c: F.coalesce(F.col(f"_h_{c}"), F.col(c)) + F.coalesce(F.col(f"_d_{c}"), F.lit(0.0)) for c in HELD_CHANNELS}
-    cols["error_rate"] = F.col("error_rate") + F.coalesce(F.col("_d_error_rate"), F.lit(0.0))
+    held = F.col("_hold")["held"]
+    cols = {c: F.coalesce(held[c], F.col(c)) + change(c) for c in HELD_CHANNELS}
+    cols["error_rate"] = F.col("error_rate") + change("error_rate")
     cols["quality_flag"] = F.greatest(F.col("quality_flag"), F.coalesce(F.col("_quality"), F.lit(0)))
-    cols["heartbeat"] = F.coalesce(F.col("_h_heartbeat"), F.col("heartbeat"))
+    frozen = F.when(F.col("_frozen_from") == F.col("_hold")["start"], held["heartbeat"])
+    cols["heartbeat"] = F.coalesce(frozen, F.col("heartbeat"))
     cols["anomaly"] = F.when(F.col("_kind").isNotNull(), 1).otherwise(F.col("anomaly"))
     cols["anomaly_type"] = F.coalesce(F.col("_kind"), F.col("anomaly_type"))
-    return out.withColumns(cols).select(*df.columns)
+    return touched.withColumns(cols).select(*df.columns)
+
 
+def _meet(df: DataFrame, episodes: DataFrame, series: Sequence[str], step: str) -> DataFrame:
+    """The rows with the episodes of their series that touch them, as ``_hits``.
 
-def _hold(out: DataFrame, eps: DataFrame, series: Sequence[str], step: str) -> DataFrame:
-    """Attach the values of the row before a freezing episode to the rows that hold them."""
-    frozen = eps.filter(F.col("_e_kind").isin(*HELD_KINDS))
+    The episodes of a series travel as one array with the values that they hold. Rows that are already dealt out by
+    series stay where they are; few series are sent to every executor.
+    """
     keys = {c: f"_e_{c}" for c in series}
-    starts = frozen.select(*[F.col(k).alias(c) for c, k in keys.items()], F.col("_e_start").alias("_hold_from")).distinct()
-    on = F.col(step) == F.col("_hold_from") - 1
-    base = out.select(*series, step, *HELD_CHANNELS, "heartbeat")
-    renamed = starts.select(*[F.col(c).alias(f"_s_{c}") for c in series], "_hold_from")
-    for c in series:
-        on = on & (F.col(c) == F.col(f"_s_{c}"))
-    last = base.join(renamed, on).select(
-        *series, "_hold_from", *[F.col(c).alias(f"_h_{c}") for c in HELD_CHANNELS], F.col("heartbeat").alias("_hb")
-    )
-    joined = join_on(out, last, [*series, "_hold_from"], "left")
-    return joined.withColumn(
-        "_h_heartbeat", F.when(F.col("_frozen_from") == F.col("_hold_from"), F.col("_hb"))
-    ).drop("_hb")
+    eps = episodes.withColumnsRenamed(keys).dropna(subset=list(keys.values()))
+    starts = eps.filter(F.col("kind").isin(*HELD_KINDS)).select(*keys.values(), "start").distinct()
+    last = F.struct(*HELD_CHANNELS, "heartbeat")
+    base = df.select(*series, step, last.alias("held"))
+    on = F.col(step) == F.col("start") - 1
+    for c, k in keys.items():
+        on = on & (F.col(c) == F.col(k))
+    held = base.join(starts, on).groupBy(*keys.values(), "start").agg(F.min("held").alias("held"))
+    fields = [F.col(c) for c in ("episode", "kind", "channel", "start", "end", "size", "held")]
+    per = eps.join(held, [*keys.values(), "start"], "left").groupBy(*keys.values())
+    per = checkpointed(per.agg(F.collect_list(F.struct(*fields)).alias("_episodes")))
+    few = per.limit(broadcast_rows_limit(df.sparkSession) + 1).count() <= broadcast_rows_limit(df.sparkSession)
+    same = F.lit(True)
+    for c, k in keys.items():
+        same = same & (F.col(c) == F.col(k))
+    met = df.join(F.broadcast(per) if few else per, same, "left")
+    touching = F.filter("_episodes", lambda e: (F.col(step) >= e["start"]) & (F.col(step) < e["end"]))
+    return met.withColumn("_hits", touching).drop("_episodes", *keys.values())
 
 
 def rule_alarm(df: DataFrame, spec_table: DataFrame, error_band: float = 0.15, bad_quality: int = 2) -> DataFrame:
